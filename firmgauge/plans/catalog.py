@@ -35,7 +35,7 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded for comparison; adding zero turns -0.0 into 0.0."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
     return df.select(*(
@@ -237,27 +237,27 @@ def sector_heatmap_5(t: Tables) -> DataFrame:
 
 @query
 def entity_change(t: Tables) -> DataFrame:
-    return rounded(snapshots.score_change(_history(t), LATEST, METRICS))
+    return snapshots.score_change(_history(t), LATEST, METRICS)
 
 
 @query
 def top_movers_all(t: Tables) -> DataFrame:
-    return rounded(snapshots.top_movers(_versions(t), _history(t), LATEST, 200))
+    return snapshots.top_movers(_versions(t), _history(t), LATEST, 200)
 
 
 @query
 def top_movers_by_sector_bin(t: Tables) -> DataFrame:
-    return rounded(_movers(t, 15))
+    return _movers(t, 15)
 
 
 @query
 def top_movers_timeseries(t: Tables) -> DataFrame:
-    return rounded(snapshots.mover_series(_movers(t), sector="All", revenue_bin="All"))
+    return snapshots.mover_series(_movers(t), sector="All", revenue_bin="All")
 
 
 @query
 def zscore_extremes(t: Tables) -> DataFrame:
-    return rounded(snapshots.score_extremes(_movers(t), n_periods=None))
+    return rounded(snapshots.score_extremes(_movers(t), n_periods=None), 10)
 
 
 @query
@@ -399,15 +399,15 @@ def stability_by_parent(t: Tables) -> DataFrame:
 @query
 def stability_weighted(t: Tables) -> DataFrame:
     parents = stability.with_type(_parent_stability(t), t.parent_dim, "parent_agg_id")
-    both = stability.weighted_stability(_provider_stability(t, False), 8).withColumn("level", F.lit("provider"))
+    both = stability.weighted_stability(_provider_stability(t, False), 9).withColumn("level", F.lit("provider"))
     return both.unionByName(
-        stability.weighted_stability(parents, 8).withColumn("level", F.lit("parent"))
+        stability.weighted_stability(parents, 9).withColumn("level", F.lit("parent"))
     )
 
 
 @query
 def stability_weighted_ref_scope(t: Tables) -> DataFrame:
-    return stability.weighted_stability(_provider_stability(t, True), 8)
+    return stability.weighted_stability(_provider_stability(t, True), 9)
 
 
 # --- scans ----------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ WEEK = [f"date '2024-01-{day}'" for day in ("01", "08", "15", "22", "29")]
 METRICS = ("cy", "mo", "sus")
 
 
-def _r(expr: str, name: str, digits: int = 8) -> str:
+def _r(expr: str, name: str, digits: int = 9) -> str:
     return f"round({expr}, {digits}) + 0 as {name}"
 
 
@@ -408,15 +408,13 @@ _SQL = {
         group by d.name""",
     "sector_heatmap": _heat_out("heat"),
     "sector_heatmap_5": _heat_out("heat5"),
-    "entity_change": "select entity_id, " + ", ".join(
-        f"{m}, {m}_prev, {_r(f'{m}_change', f'{m}_change')}" for m in METRICS) + " from change",
-    "top_movers_all": f"""select h.*, {_r('t.cy_change', 'cy_change')}, t."rank" from histories h join (
+    "entity_change": "select * from change",
+    "top_movers_all": """select h.*, t.cy_change, t."rank" from histories h join (
         select entity_id, cy_change,
                cast(row_number() over (order by cy_change desc nulls last, entity_id) as int) as "rank"
         from change where entity_id in (select entity_id from versions)) t using (entity_id)
         where t."rank" <= 200""",
-    "top_movers_by_sector_bin": f"""select * exclude (cy_change), {_r('cy_change', 'cy_change')}
-        from movers where "rank" <= 15""",
+    "top_movers_by_sector_bin": """select * from movers where "rank" <= 15""",
     "top_movers_timeseries": f"""
         with placed_ids as (
             select sector, entity_id, cy_change, cast(row_number() over (
@@ -439,7 +437,7 @@ _SQL = {
                    window w as (partition by sector)),
         n as (select *, row_number() over (partition by sector order by cy_avg_z, entity_name) as rn,
                      count(*) over (partition by sector) as size from z)
-        select sector, entity_name, {_r('cy_avg', 'cy_avg')}, cy_avg_z,
+        select sector, entity_name, {_r('cy_avg', 'cy_avg', 10)}, cy_avg_z,
                case when cy_avg_z < 0 then 'below average (safe)'
                     when cy_avg_z >= 0 then 'above average (risky)' end as cy_avg_type,
                case when rn <= 20 then 'low' else 'high' end as side
