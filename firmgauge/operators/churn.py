@@ -26,10 +26,18 @@ def _period_counts(rows: DataFrame, previous: dt.date, latest: dt.date) -> DataF
     )
 
 
-def _one_sided(counts: DataFrame, gone: bool, min_entities: int) -> DataFrame:
-    here, there = ("n_previous", "n_latest") if gone else ("n_latest", "n_previous")
-    return counts.filter((F.col(there) == 0) & (F.col(here) >= min_entities)).select(
-        F.col("agg_id").alias("outlier_agg_id"), "ip_dec", F.col(here).alias("n_entities")
+def _new(min_entities: int) -> Column:
+    return (F.col("n_previous") == 0) & (F.col("n_latest") >= min_entities)
+
+
+def _gone(min_entities: int) -> Column:
+    return (F.col("n_latest") == 0) & (F.col("n_previous") >= min_entities)
+
+
+def _listed(counts: DataFrame, wanted: Column, *extra: Column) -> DataFrame:
+    return counts.filter(wanted).select(
+        F.col("agg_id").alias("outlier_agg_id"), "ip_dec",
+        F.greatest("n_previous", "n_latest").alias("n_entities"), *extra,
     )
 
 
@@ -45,7 +53,7 @@ def new_ips(
 ) -> DataFrame:
     """IPs of a provider in the latest period only, with at least ``min_entities`` entities."""
     counts = _period_counts(_of_outliers(edges, outliers), previous, latest)
-    return _one_sided(counts, gone=False, min_entities=min_entities)
+    return _listed(counts, _new(min_entities))
 
 
 def disappeared_ips(
@@ -54,7 +62,7 @@ def disappeared_ips(
 ) -> DataFrame:
     """IPs of a provider in the previous period only, with at least ``min_entities`` entities."""
     counts = _period_counts(_of_outliers(edges, outliers), previous, latest)
-    return _one_sided(counts, gone=True, min_entities=min_entities)
+    return _listed(counts, _gone(min_entities))
 
 
 def union_ip_maps(*maps: DataFrame) -> DataFrame:
@@ -72,19 +80,18 @@ def shifted_ip_churn(
     """New and disappeared IPs of the entities of a provider, through an IP map of earlier periods.
 
     The map is moved ``shift_months`` forward and joined on the entity alone. Entities are made
-    distinct per provider before the join, so each map row meets each provider once.
+    distinct per provider before the join, so each map row meets each provider once; repeated map
+    rows are removed together with the join's own repeats, in the count.
     """
     users = _of_outliers(in_periods(edges, start=previous), outliers)
     users = users.select("agg_id", "entity_id").distinct()
     moved = ip_map.select(
         F.add_months("run_date", shift_months).alias("run_date"), "entity_id", "ip_dec"
-    ).filter(F.col("run_date").isin(previous, latest)).distinct()
+    ).filter(F.col("run_date").isin(previous, latest))
     counts = _period_counts(hot_key_join(moved, users, ["entity_id"]), previous, latest)
-    new = _one_sided(counts, gone=False, min_entities=min_entities)
-    gone = _one_sided(counts, gone=True, min_entities=min_entities)
-    return new.withColumn("type", F.lit("new IPs")).unionByName(
-        gone.withColumn("type", F.lit("disappeared IPs"))
-    )
+    new, gone = _new(min_entities), _gone(min_entities)
+    kind = F.when(new, "new IPs").otherwise("disappeared IPs").alias("type")
+    return _listed(counts, new | gone, kind)
 
 
 # --- same parent ----------------------------------------------------------------------------

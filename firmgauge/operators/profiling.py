@@ -239,10 +239,8 @@ def corr_spearman(df: DataFrame, columns: Sequence[str], ids: str = "entity_id")
     long = known.unpivot([ids], columns, "variable", "value")
     counts = cumulative_counts(long, "value", ["variable"])
     ranks = counts.select("variable", "value", average_ranks(counts).alias("rank"))
-    total = known.agg(F.count(F.lit(1)).alias("_rows")).scalar()
-    # At most 100 values per column hold more than 1/100 of its rows.
-    hot = counts.filter(F.col("n") > total * 0.01).select("variable", "value")
-    ranked = hot_key_join(long, ranks, ["variable", "value"], hot=hot)
+    # A value with a hundredth of one column's rows is hot.
+    ranked = hot_key_join(long, ranks, ["variable", "value"], share=0.01 / len(columns))
     wide = ranked.groupBy(ids).agg(
         *(F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(c) for c in columns)
     )

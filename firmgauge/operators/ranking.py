@@ -96,7 +96,11 @@ def group_thresholds(df: DataFrame, value: str, by: Sequence[str], k: int = 25)
 def flag_top_in_group(
     df: DataFrame, value: str = "outlier_score", by: Sequence[str] = ("sector",), k: int = 25
 ) -> DataFrame:
-    """Flag rows above their group's threshold; a group below ``k`` rows has none flagged."""
+    """Flag rows above their group's threshold; a group below ``k`` rows has none flagged.
+
+    The rows are read three times (sizes, edges, flags), so the input is computed once.
+    """
+    df = materialise(df)
     table = small_result(group_thresholds(df, value, by, k))
     above = F.col(value) > F.col("threshold")
     return df.join(table, list(by)).withColumn("outlier", F.when(above, 1).otherwise(0))
@@ -105,16 +109,15 @@ def flag_top_in_group(
 def top_overall(df: DataFrame, value: str = "outlier_score", k: int = 180) -> DataFrame:
     """Rows above the quantile 1 - k/n of the whole table; none for n < k.
 
-    The edge comes from a top-(k+1) limit, so nothing is sorted in full.
+    The edge comes from a top-(k+1) limit, so nothing is sorted in full. The input is computed
+    once, as it is read for the size, the edge and the result.
     """
-    present = df.filter(F.col(value).isNotNull())
-    top = present.select(value).orderBy(F.desc(value)).limit(k + 1)
-    # Of the k+1 largest: the smallest is number k+1, and number k is the smallest of the first k.
-    first = present.select(value).orderBy(F.desc(value)).limit(k)
-    edge = materialise(
-        present.agg(F.count(value).alias("_size"))
-        .withColumn("_k", first.agg(F.min(value)).scalar())
-        .withColumn("_k1", top.agg(F.min(value)).scalar())
-        .select(_threshold(k, F.col("_size"), F.col("_k"), F.col("_k1")).alias("_threshold"))
-    )
+    present = materialise(df.filter(F.col(value).isNotNull()))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(value)))
+    top = present.select(value).orderBy(F.desc(value)).limit(k + 1).withColumn("_r", rank)
+    edge = top.agg(
+        F.max(F.when(F.col("_r") == k, F.col(value))).alias("_k"),
+        F.max(F.when(F.col("_r") == k + 1, F.col(value))).alias("_k1"),
+        present.agg(F.count(value)).scalar().alias("_size"),
+    ).select(_threshold(k, F.col("_size"), F.col("_k"), F.col("_k1")))
     return present.filter(F.col(value) > edge.scalar())

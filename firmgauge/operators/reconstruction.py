@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmgauge.functions.columns import minmax_scale, seeded_hash
-from firmgauge.operators.scale import materialise, small_result
+from firmgauge.operators.scale import materialise, sized_broadcast
 
 SEED = 1717
 TRAIN_SHARE = 0.6
@@ -41,14 +41,20 @@ def minmax(df: DataFrame, columns: Sequence[str], a: float = 0.0, b: float = 1.0
     })
 
 
-def log_features(df: DataFrame, with_income: bool = False) -> DataFrame:
-    """Companies with positive figures and their scaled log sizes."""
+def log_sizes(df: DataFrame, with_income: bool = False) -> DataFrame:
+    """Companies with positive figures and their log sizes (``*_norm``, not yet scaled)."""
     positive = (F.col("revenue") > 0) & (F.col("employees") > 0) & F.col("sector").isNotNull()
     new = {"revenue_norm": F.log10(F.col("revenue") + 1), "employees_norm": F.log10("employees")}
     if with_income:
         positive = positive & (F.col("income") > 0)
         new["income_norm"] = F.log10(F.col("income") + 1)
-    return minmax(df.filter(positive).withColumns(new), list(new))
+    return df.filter(positive).withColumns(new)
+
+
+def log_features(df: DataFrame, with_income: bool = False) -> DataFrame:
+    """Companies with positive figures and their log sizes scaled to [0, 1] over the table."""
+    names = ["revenue_norm", "employees_norm"] + (["income_norm"] if with_income else [])
+    return minmax(log_sizes(df, with_income), names)
 
 
 def hash_split(
@@ -60,18 +66,30 @@ def hash_split(
 
 
 # --- fit ------------------------------------------------------------------------------------
-def _moments(train: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
+def group_moments(
+    df: DataFrame, features: Sequence[str], group: str = "sector", train: Column | None = None
+) -> DataFrame:
+    """Everything the models need, in one aggregation of one row per group.
+
+    Mean, deviation and pairwise correlation over the training rows, the limits over all rows, and
+    the number of training rows. A correlation with a constant feature counts as 0.
+    """
+    train = F.lit(True) if train is None else train
+    x = {f: F.when(train, F.col(f)) for f in features}
     pairs = list(combinations(range(len(features)), 2))
-    table = train.groupBy(group).agg(
-        *(F.avg(f).alias(f"mean_{f}") for f in features),
-        *(F.stddev_samp(f).alias(f"sd_{f}") for f in features),
-        *(F.covar_samp(features[i], features[j]).alias(f"cov_{i}_{j}") for i, j in pairs),
+    table = df.groupBy(group).agg(
+        F.count_if(train).alias("n_train"),
+        *(F.avg(x[f]).alias(f"mean_{f}") for f in features),
+        *(F.stddev_samp(x[f]).alias(f"sd_{f}") for f in features),
+        *(F.min(f).alias(f"min_{f}") for f in features),
+        *(F.max(f).alias(f"max_{f}") for f in features),
+        *(F.covar_samp(x[features[i]], x[features[j]]).alias(f"cov_{i}_{j}") for i, j in pairs),
     )
+    rho = {}
     for i, j in pairs:
         spread = F.col(f"sd_{features[i]}") * F.col(f"sd_{features[j]}")
-        rho = F.coalesce(F.try_divide(F.col(f"cov_{i}_{j}"), spread), F.lit(0.0))
-        table = table.withColumn(f"rho_{i}_{j}", rho).drop(f"cov_{i}_{j}")
-    return table
+        rho[f"rho_{i}_{j}"] = F.coalesce(F.try_divide(F.col(f"cov_{i}_{j}"), spread), F.lit(0.0))
+    return table.withColumns(rho).drop(*(f"cov_{i}_{j}" for i, j in pairs))
 
 
 def _weakest_of_two() -> list[Column]:
@@ -107,12 +125,12 @@ def _weakest_of_three(table: DataFrame) -> tuple[DataFrame, list[Column]]:
     return table, unit
 
 
-def fit_pca(train: DataFrame, features: Sequence[str], group: str = "sector") -> DataFrame:
+def fit_pca(moments: DataFrame, features: Sequence[str], group: str = "sector") -> DataFrame:
     """Per group: mean and deviation of each feature and the direction ``v_*`` left out.
 
     For two features (one unit) and three features (two units).
     """
-    table = _moments(train, group, features)
+    table = moments
     if len(features) == 2:
         direction = _weakest_of_two()
     elif len(features) == 3:
@@ -162,7 +180,7 @@ def _part_trainer(
 
 
 def fit_tanh(
-    train: DataFrame, features: Sequence[str], hidden: int, group: str = "sector",
+    train: DataFrame, moments: DataFrame, features: Sequence[str], hidden: int, group: str = "sector",
     ids: str = "entity_id", epochs: int = EPOCHS, seed: int = SEED, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Per group: mean and deviation of each feature and the weights ``w`` of the network.
@@ -172,28 +190,24 @@ def fit_tanh(
     mean over its parts, weighted by rows. All training rows are used.
     """
     features = list(features)
-    stats = train.groupBy(group).agg(
-        *(F.avg(f).alias(f"mean_{f}") for f in features),
-        *(F.stddev_samp(f).alias(f"sd_{f}") for f in features),
-        F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"),
+    stats = moments.select(
+        group, F.ceil(F.col("n_train") / part_rows).alias("_parts"),
+        *(f"{kind}_{f}" for kind in ("mean", "sd") for f in features),
     )
-    stats = materialise(stats)
-    scaled = train.select(group, ids, *features).join(small_result(stats), group).select(
+    scaled = train.select(group, ids, *features).join(sized_broadcast(stats), group).select(
         group, ids, F.pmod(F.xxhash64(ids), F.col("_parts")).alias("_part"),
         *(_standard(f).alias(f) for f in features),
     )
-
     kind = train.schema[group].dataType.simpleString()
     parts = scaled.groupBy(group, "_part").applyInPandas(
         _part_trainer(features, group, ids, hidden, epochs, seed),
-        f"`{group}` {kind}, n long, w array<double>"
+        f"`{group}` {kind}, n long, w array<double>",
     )
-    d = len(features)
-    count = 2 * d * hidden + hidden + d
+    count = 2 * len(features) * hidden + hidden + len(features)
     merged = parts.groupBy(group).agg(F.array(*(
         F.sum(F.col("w")[i] * F.col("n")) / F.sum("n") for i in range(count)
     )).alias("w"))
-    return merged.join(stats.drop("_parts"), group)
+    return materialise(merged.join(stats.drop("_parts"), group))
 
 
 # --- score ----------------------------------------------------------------------------------
@@ -217,12 +231,12 @@ def recon_score(
 ) -> DataFrame:
     """Mean squared reconstruction error of each row and its rebuilt features.
 
-    Row-wise and JVM-only. The model has one row per group; it is computed once and broadcast if
-    small. ``hidden`` is needed for a tanh model.
+    Row-wise and JVM-only. The model has one row per group and is broadcast if small. ``hidden`` is
+    needed for a tanh model.
     """
     features = list(features)
     helper = [c for c in model.columns if c != group]
-    joined = df.join(small_result(model), group)
+    joined = df.join(sized_broadcast(model), group)
     z = [F.col(f"_z_{f}") for f in features]
     joined = joined.withColumns({f"_z_{f}": _standard(f) for f in features})
     d = len(features)
@@ -258,16 +272,35 @@ def recon_outliers(
 ) -> DataFrame:
     """Scores of every company with positive figures, from a model fitted on the training split.
 
-    Two features use one unit, three features two units. ``split`` is kept for error reports.
+    Two features use one unit, three features two units. ``split`` is kept for error reports. The
+    companies are read twice: once for the moments and limits, once to be scored.
     """
-    prepared = hash_split(log_features(universe, with_income))
     features = ["revenue_norm", "employees_norm"] + (["income_norm"] if with_income else [])
     hidden = len(features) - 1
-    train = prepared.filter("split = 'train'")
+    sizes = hash_split(log_sizes(universe, with_income))
+    moments = materialise(group_moments(sizes, features, group, F.col("split") == "train"))
+    limits = moments.agg(
+        *(F.min(f"min_{f}").alias(f"low_{f}") for f in features),
+        *(F.max(f"max_{f}").alias(f"high_{f}") for f in features),
+    )
+
+    def scaled(column: str, f: str) -> Column:
+        low, high = limits.select(f"low_{f}").scalar(), limits.select(f"high_{f}").scalar()
+        return minmax_scale(F.col(column), low, high)
+
+    def spread(f: str) -> Column:
+        low, high = limits.select(f"low_{f}").scalar(), limits.select(f"high_{f}").scalar()
+        return F.try_divide(F.col(f"sd_{f}"), high - low)
+
+    prepared = sizes.withColumns({f: scaled(f, f) for f in features})
+    moments = moments.withColumns({
+        **{f"mean_{f}": scaled(f"mean_{f}", f) for f in features},
+        **{f"sd_{f}": spread(f) for f in features},
+    })
     if method == "pca":
-        model = fit_pca(train, features, group)
+        model = fit_pca(moments, features, group)
     elif method == "tanh":
-        model = fit_tanh(train, features, hidden, group)
+        model = fit_tanh(prepared.filter("split = 'train'"), moments, features, hidden, group)
     else:
         raise ValueError(f"unknown method: {method}")
     return recon_score(prepared, model, features, group, hidden)

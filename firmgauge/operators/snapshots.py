@@ -12,7 +12,7 @@ from firmgauge.functions.columns import fixed, mean, with_bins
 from firmgauge.operators.filters import (
     at_period, complete_history, distinct_on, filter_optional, in_periods, keep_ids,
 )
-from firmgauge.operators.scale import small_result, sized_broadcast
+from firmgauge.operators.scale import BROADCAST_ROWS, small_result
 from firmgauge.schemas import BINS_10, METRICS, Bins
 
 ATTRIBUTES = ("entity_id", "entity_name", "sector", "revenue")
@@ -113,9 +113,8 @@ def top_movers(
         "entity_id", "cy_change",
         F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_by_change())).alias("rank"),
     )
-    best = small_result(best)
-    history = entity_scores_fanout(attributes.join(best, "entity_id"), scores)
-    return history
+    best = F.broadcast(best) if n <= BROADCAST_ROWS else best
+    return entity_scores_fanout(attributes.join(best, "entity_id"), scores)
 
 
 def top_movers_by_group(
@@ -141,6 +140,8 @@ def mover_series(
 ) -> DataFrame:
     """Long series of the ``first`` movers of each sector.
 
+    The rank is dense over (change, entity), so an entity's rows share it and the cut to ``first``
+    entities happens before the shuffle.
     ``sector`` and ``revenue_bin`` are the user's choice ("All" or None: no filter). ``n_periods``
     keeps entities without gaps; None keeps all. The value range of each entity and of all shown
     entities is added for the axes.
@@ -148,16 +149,15 @@ def mover_series(
     chosen = filter_optional(filter_optional(movers, "sector", sector), "revenue_bin", revenue_bin)
     if n_periods is not None:
         chosen = complete_history(chosen, n_periods, ("sector", "entity_id"))
-    order = Window.partitionBy("sector").orderBy(F.desc_nulls_last("cy_change"), "entity_id")
-    ids = chosen.select("sector", "entity_id", "cy_change").distinct().withColumn(
-        "position", F.row_number().over(order)
-    ).filter(F.col("position") <= first)
-    shown = chosen.drop("cy_change").join(small_result(ids), ["sector", "entity_id"])
-    ranges = value_range(shown, ["sector", "entity_id"])
-    long = scores_long(
-        shown, ["sector", "entity_id", "entity_name", "revenue_bin", "position", "run_date"]
-    )
-    return long.join(sized_broadcast(ranges), ["sector", "entity_id"])
+    order = Window.partitionBy("sector").orderBy(*_by_change())
+    shown = chosen.withColumn("position", F.dense_rank().over(order)).filter(F.col("position") <= first)
+    one = Window.partitionBy("sector", "entity_id")
+    shown = shown.withColumns({
+        "low": F.least(*(F.min(m).over(one) for m in METRICS)),
+        "high": F.greatest(*(F.max(m).over(one) for m in METRICS)),
+    })
+    keys = ["sector", "entity_id", "entity_name", "revenue_bin", "position", "run_date", "low", "high"]
+    return scores_long(shown, keys)
 
 
 # --- extremes -------------------------------------------------------------------------------

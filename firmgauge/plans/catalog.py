@@ -13,6 +13,7 @@ from firmgauge.functions import columns as C
 from firmgauge.operators import (
     churn, filters, outliers, profiling, providers, ranking, reconstruction, scans, snapshots, stability,
 )
+from firmgauge.operators.scale import materialise
 from firmgauge.plans.views import Tables
 from firmgauge.schemas import BINS_10, BINS_4, BINS_5, BINS_DEFAULT, METRICS, OutlierRules
 from firmgauge.sources import readers
@@ -252,12 +253,12 @@ def top_movers_by_sector_bin(t: Tables) -> DataFrame:
 
 @query
 def top_movers_timeseries(t: Tables) -> DataFrame:
-    return snapshots.mover_series(_movers(t), sector="All", revenue_bin="All")
+    return snapshots.mover_series(materialise(_movers(t)), sector="All", revenue_bin="All")
 
 
 @query
 def zscore_extremes(t: Tables) -> DataFrame:
-    return rounded(snapshots.score_extremes(_movers(t), n_periods=None), 10)
+    return rounded(snapshots.score_extremes(materialise(_movers(t)), n_periods=None), 10)
 
 
 @query
