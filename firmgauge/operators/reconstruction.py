@@ -142,11 +142,11 @@ def fit_pca(moments: DataFrame, features: Sequence[str], group: str = "sector")
 
 
 def _part_trainer(
-    features: list[str], group: str, ids: str, hidden: int, epochs: int, seed: int
+    features: list[str], group: str, ids: str, hidden: int, epochs: int, seed: int, batch: int = 8
 ) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Task function: weights of tanh(z A + a) B + b for the rows of one part.
 
-    ``epochs`` passes of Adam in batches of 64, rows in id order. Self-contained, so that workers
+    ``epochs`` passes of Adam in small batches, from rows in id order. Self-contained, so that workers
     need no copy of this package.
     """
 
@@ -161,8 +161,8 @@ def _part_trainer(
         m, v, step = np.zeros_like(w), np.zeros_like(w), 0
         for _ in range(epochs):
             order = rng.permutation(len(z))
-            for start in range(0, len(z), 64):
-                x = z[order[start:start + 64]]
+            for start in range(0, len(z), batch):
+                x = z[order[start:start + batch]]
                 A, a, B, b = (part.reshape(s) for part, s in zip(np.split(w, cuts), shapes))
                 h = np.tanh(x @ A + a)
                 error = 2 * (h @ B + b - x) / x.size
