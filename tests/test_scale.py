@@ -104,9 +104,9 @@ def test_hot_group_is_ranked_by_many_tasks(spark):
 
 
 def test_distinct_counts_are_split_by_entity_first(spark):
-    edges = spark.range(100).select(
-        (F.col("id") % 2).alias("agg_id"), F.date_add(F.lit("2018-01-01"), (F.col("id") % 3).cast("int")).alias("run_date"),
-        F.col("id").alias("entity_id"))
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    edges = lines.select(
+        F.col("l_suppkey").alias("agg_id"), F.col("l_shipdate").alias("run_date"), F.col("l_orderkey").alias("entity_id"))
     text = plan(providers.coverage_by_provider(edges))
     first = re.findall(r"hashpartitioning\((.*?), \d+\)", text)
     assert any("entity_id" in keys for keys in first)
