@@ -25,9 +25,9 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
     Beyond that it is returned as it is, and the join is a shuffle join whose hot partitions
-    are split at run time. The count stops at ``max_rows + 1`` rows.
+    are split at run time.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def small_result(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,20 +58,21 @@ def _key_hash(df: DataFrame, on: Sequence[str]) -> Column:
 
 def hot_key_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-    share: float = 0.01, salts: int = 32,
+    share: float = 0.01, salts: int = 32, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join where a few keys may hold a large part of the left rows.
 
     Left rows of a hot key are spread over ``salts`` parts by a hash of the row; the right rows
     of that key are repeated once per part. Other keys keep a single part. Without hot keys it
-    is a plain join. ``how`` is inner, left, left_semi or left_anti.
+    is a plain join. ``how`` is inner, left, left_semi or left_anti. ``probe`` is a cheaper table
+    with the key columns of the left side to look for hot keys in; it affects speed only.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
     if [left.schema[c].dataType for c in on] != [right.schema[c].dataType for c in on]:
         raise ValueError("key columns must have the same types on both sides")
-    hot = hot_key_hashes(left, on, share)
+    hot = hot_key_hashes(left if probe is None else probe, on, share)
     if not hot:
         return left.join(right, on, how)
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")

@@ -106,15 +106,18 @@ def _by_change() -> list[Column]:
 def top_movers(
     attributes: DataFrame, scores: DataFrame, latest: dt.date, n: int = 200
 ) -> DataFrame:
-    """Full history of the ``n`` entities whose main score rose most, with their rank."""
-    scores = keep_ids(scores, attributes.select("entity_id"), "entity_id")
-    best = score_change(scores, latest).orderBy(*_by_change()).limit(n)
-    best = best.select(
+    """Full history of the ``n`` entities whose main score rose most, with their rank.
+
+    The ``n`` winners are broadcast to both tables, so only their rows are shuffled.
+    """
+    known = keep_ids(scores, attributes.select("entity_id"), "entity_id")
+    best = score_change(known, latest).orderBy(*_by_change()).limit(n).select(
         "entity_id", "cy_change",
         F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_by_change())).alias("rank"),
     )
     best = F.broadcast(best) if n <= BROADCAST_ROWS else best
-    return entity_scores_fanout(attributes.join(best, "entity_id"), scores)
+    versions = attributes.join(best, "entity_id", "left_semi")
+    return entity_scores_fanout(versions, scores.join(best, "entity_id"))
 
 
 def top_movers_by_group(
@@ -122,16 +125,16 @@ def top_movers_by_group(
 ) -> DataFrame:
     """Full history of the ``n`` top risers of each sector and revenue bin, with rank.
 
-    All groups in one pass: the rank window is cut to ``n`` rows per group before its shuffle.
+    All groups in one pass. The rank is dense over (change, entity), so the versions of an entity
+    in a group share it, and the window is cut to ``n`` ranks per group before its shuffle. The
+    winners are computed once; if few, they are broadcast to the scores.
     """
-    binned = with_bins(attributes, bins)
-    keys = ["sector", "revenue_bin"]
-    members = binned.select("entity_id", *keys).distinct()
-    ranked = members.join(score_change(scores, latest), "entity_id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*_by_change()))
+    order = Window.partitionBy("sector", "revenue_bin").orderBy(*_by_change())
+    ranked = with_bins(attributes, bins).join(score_change(scores, latest), "entity_id").withColumn(
+        "rank", F.dense_rank().over(order)
     ).filter(F.col("rank") <= n)
-    best = small_result(ranked.select("entity_id", *keys, "cy_change", "rank"))
-    return entity_scores_fanout(binned.join(best, ["entity_id", *keys]), scores)
+    best = small_result(ranked.select(*attributes.columns, "revenue_bin", "bin_order", "cy_change", "rank"))
+    return entity_scores_fanout(best, scores)
 
 
 def mover_series(
