@@ -21,7 +21,7 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     ranged = materialise(
-        counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
+        counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), required=True
     )
     inside = Window.partitionBy("_part", *by).orderBy(value)
     running = ranged.withColumn(

@@ -185,7 +185,7 @@ def fit_tanh(
 ) -> DataFrame:
     """Per group: mean and deviation of each feature and the weights ``w`` of the network.
 
-    A group is cut by a hash of the id into parts of about ``part_rows`` rows, so a hot group is
+    A group is cut by a hash of the row into parts of about ``part_rows`` rows, so a hot group is
     trained by many tasks. Every part starts from the same weights; the group's weights are the
     mean over its parts, weighted by rows. All training rows are used.
     """
@@ -195,7 +195,7 @@ def fit_tanh(
         *(f"{kind}_{f}" for kind in ("mean", "sd") for f in features),
     )
     scaled = train.select(group, ids, *features).join(sized_broadcast(stats), group).select(
-        group, ids, F.pmod(F.xxhash64(ids), F.col("_parts")).alias("_part"),
+        group, ids, F.pmod(F.xxhash64(ids, *features), F.col("_parts")).alias("_part"),
         *(_standard(f).alias(f) for f in features),
     )
     kind = train.schema[group].dataType.simpleString()
@@ -284,18 +284,21 @@ def recon_outliers(
         *(F.max(f"max_{f}").alias(f"high_{f}") for f in features),
     )
 
-    def scaled(column: str, f: str) -> Column:
-        low, high = limits.select(f"low_{f}").scalar(), limits.select(f"high_{f}").scalar()
-        return minmax_scale(F.col(column), low, high)
+    edges = limits.first()  # one row: two numbers per feature
+
+    def low(f: str) -> Column:
+        return F.lit(edges[f"low_{f}"]).cast("double")
 
-    def spread(f: str) -> Column:
-        low, high = limits.select(f"low_{f}").scalar(), limits.select(f"high_{f}").scalar()
-        return F.try_divide(F.col(f"sd_{f}"), high - low)
+    def high(f: str) -> Column:
+        return F.lit(edges[f"high_{f}"]).cast("double")
+
+    def scaled(column: str, f: str) -> Column:
+        return minmax_scale(F.col(column), low(f), high(f))
 
     prepared = sizes.withColumns({f: scaled(f, f) for f in features})
     moments = moments.withColumns({
         **{f"mean_{f}": scaled(f"mean_{f}", f) for f in features},
-        **{f"sd_{f}": spread(f) for f in features},
+        **{f"sd_{f}": F.try_divide(F.col(f"sd_{f}"), high(f) - low(f)) for f in features},
     })
     if method == "pca":
         model = fit_pca(moments, features, group)

@@ -14,9 +14,15 @@ from firmgauge.session import checkpoint_dir
 BROADCAST_ROWS = 100_000
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; without such a folder the plan is kept."""
+def materialise(df: DataFrame, required: bool = False) -> DataFrame:
+    """Compute once into the shared checkpoint folder.
+
+    Without such a folder the plan is kept and computed again at each use; ``required`` is for
+    callers whose result would change between two computations, and fails instead.
+    """
     if checkpoint_dir(df.sparkSession) is None:
+        if required:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         return df
     return df.checkpoint(eager=True)
 

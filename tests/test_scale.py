@@ -90,6 +90,14 @@ def test_checkpoint_folder_is_kept(spark):
     assert "Project" not in plan(df) and df.count() == 5
 
 
+def test_ranks_refuse_to_run_without_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(scale, "checkpoint_dir", lambda _: None)
+    df = spark.range(5).select(F.col("id").cast("double").alias("v"))
+    assert scale.materialise(df) is df
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ranking.cumulative_counts(df, "v")
+
+
 def test_hot_group_is_ranked_by_many_tasks(spark):
     df = spark.range(60000).select(F.lit("one").alias("g"), (F.col("id") % 50000).cast("double").alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
