@@ -16,12 +16,12 @@ from firmgauge.schemas import KNOWN_GOOD_IDS, OutlierRules
 def income_above_revenue(
     universe: DataFrame, latest: dt.date, rules: OutlierRules = OutlierRules()
 ) -> DataFrame:
-    """Large companies whose income is well above their revenue."""
+    """Large companies whose income is well above their revenue (also above a revenue of zero)."""
     size = F.abs("income")
     return at_period(universe, latest).filter(
         (size > F.abs("revenue"))
         & ((F.col("revenue") > rules.size) | (size > rules.size))
-        & (F.try_divide(size, F.col("revenue")) > rules.income_ratio)
+        & (F.col("revenue") >= 0) & (size > rules.income_ratio * F.col("revenue"))
         & (F.col("income") > 0)
     )
 

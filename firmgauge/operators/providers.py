@@ -56,27 +56,33 @@ def provider_labels(edges: DataFrame, provider_dim: DataFrame) -> DataFrame:
 
 
 def coverage_labelled(
-    coverage: DataFrame, provider_dim: DataFrame, parent_dim: DataFrame,
-    location: Sequence[str] = ("region", "country_code", "stateprov"),
+    coverage: DataFrame, provider_dim: DataFrame, parent_dim: DataFrame
 ) -> DataFrame:
-    """Coverage with the descriptive line shown above each plot."""
-    places = [c for c in location if c in provider_dim.columns]
+    """Provider coverage with the line shown above its plot: parent, type and location."""
+    places = [c for c in ("region", "country_code", "stateprov") if c in provider_dim.columns]
     providers = provider_dim.select("agg_id", "parent_agg_id", *places)
     names = providers.join(
         sized_broadcast(parent_dim.select("parent_agg_id", "parent", "type")), "parent_agg_id", "left"
     )
-    info = F.concat(
-        F.lit("Parent: "), "parent", F.lit(", Type: "), "type",
-        F.lit(", Location: "), F.concat_ws(", ", *places),
-    )
-    return coverage.join(sized_broadcast(names), "agg_id", "left").withColumn("info", info).drop(
-        "parent_agg_id", "parent", "type", *places
-    )
+    inner = [c for c in places if c != "region"]
+    place = F.concat_ws(", ", *places[:1], *([F.nullif(F.concat_ws(" ", *inner), F.lit(""))] if inner else []))
+    info = F.concat(F.lit("Parent: "), "parent", F.lit(", Type: "), "type", F.lit(", Location: "), place)
+    labelled = coverage.join(sized_broadcast(names), "agg_id", "left").withColumn("info", info)
+    return labelled.drop("parent_agg_id", "parent", "type", *places)
+
 
+def parent_coverage_labelled(coverage: DataFrame, parent_dim: DataFrame) -> DataFrame:
+    """Parent coverage with the line shown above its plot: parent and type."""
+    info = F.concat(F.lit("Parent: "), "parent", F.lit(", Type: "), "type").alias("info")
+    names = parent_dim.select("parent_agg_id", info)
+    return coverage.join(sized_broadcast(names), "parent_agg_id", "left")
 
-def coverage_axis_limit(coverage: DataFrame, value: str = "num_entities") -> DataFrame:
-    """Upper axis limit of each provider's plot."""
-    return coverage.groupBy("agg_id").agg(F.max(value).alias("max_entities")).withColumn(
+
+def coverage_axis_limit(
+    coverage: DataFrame, key: str = "agg_id", value: str = "num_entities"
+) -> DataFrame:
+    """Upper axis limit of each provider's (or parent's) plot."""
+    return coverage.groupBy(key).agg(F.max(value).alias("max_entities")).withColumn(
         "axis_limit", round_up_nice("max_entities")
     )
 

@@ -282,3 +282,18 @@ def heatmap_tooltip(heatmap: DataFrame, metric: str = "cy") -> DataFrame:
         F.lit(" to "), F.date_format("run_date", "MMMM"),
     )
     return heatmap.select("sector", "revenue_bin", text.alias("tooltip"), title.alias("title"))
+
+
+def country_tooltip(country_table: DataFrame) -> DataFrame:
+    """Popup text of each country of the map; null for a country without data."""
+    text = F.concat(
+        F.lit("Country: "), "country", F.lit("\nNumber of Companies: "), F.col("n_companies").cast("string"),
+        F.lit("\nScore: "), fixed("country_cy_avg"), F.lit("\nSusceptibility: "), fixed("country_sus_avg"),
+        F.lit("\nMotivation: "), fixed("country_mo_avg"),
+    )
+    return country_table.select("country", text.alias("tooltip"))
+
+
+def series_title(name: str = "entity_name", ids: str = "entity_id") -> Column:
+    """Caption of a company's score plot."""
+    return F.concat(F.lit("Scores for "), F.col(name), F.lit("\nid = "), F.col(ids).cast("string"))

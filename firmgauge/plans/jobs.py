@@ -49,7 +49,10 @@ def dashboard_extract(
     snapshot: DataFrame, scores: DataFrame, countries: DataFrame, run_date: dt.date, folder: str,
     region: Region = US, n_periods: int = 6, period_months: int = 1,
 ) -> dict[str, str]:
-    """Country means, sector heatmap, overall movers and movers per sector of one region."""
+    """Country means, sector heatmap, overall movers and movers per sector of one region.
+
+    A region without the country rule needs no country column and gets no country means.
+    """
     periods = periods_back(run_date, n_periods, period_months)
     universe = filters.eligible_universe(
         filters.in_periods(snapshot, periods[0], run_date), countries if region.country_rule else None,
@@ -62,15 +65,16 @@ def dashboard_extract(
     )
     versions = snapshots.attribute_versions(universe, periods[0], run_date)
     out = f"{folder.rstrip('/')}/{region.name}"
-    by_country = snapshots.country_map(snapshots.country_scores(scored, run_date), countries)
     heatmap = snapshots.sector_heatmap(scored, region.bins)
     movers = snapshots.top_movers(versions, history, run_date, region.top_n)
     paths = {
-        "country_scores": write_report(by_country, out, "country_scores", run_date),
         "sector_scores": write_report(heatmap, out, "sector_scores", run_date),
         "top_movers": write_report(movers, out, "top_movers", run_date),
         "movers_by_sector": f"{out}/movers_by_sector",
     }
+    if region.country_rule:
+        by_country = snapshots.country_map(snapshots.country_scores(scored, run_date), countries)
+        paths["country_scores"] = write_report(by_country, out, "country_scores", run_date)
     groups = snapshots.top_movers_by_group(versions, history, run_date, region.top_n, region.bins)
     write_partitioned(groups, paths["movers_by_sector"], ["sector"])
     return paths
@@ -106,9 +110,12 @@ def provider_review(
     )
     labelled = providers.coverage_labelled(coverage, provider_dim, parent_dim)
     limits = providers.coverage_axis_limit(coverage)
+    parent_limits = providers.coverage_axis_limit(parents, "parent_agg_id")
+    parents = providers.parent_coverage_labelled(parents, parent_dim)
     paths = {
         name: write_report(df, folder, name, run_date) for name, df in {
             "coverage_history": labelled, "coverage_history_parent": parents, "coverage_axis": limits,
+            "coverage_axis_parent": parent_limits,
             "stability_provider": by_provider, "stability_parent": by_parent, "stability_weighted": weighted,
         }.items()
     }
@@ -116,7 +123,7 @@ def provider_review(
         ("ip_changes", changes, ["outlier_agg_id", "type"]), ("parent_switches", switches, ["outlier_agg_id"]),
     ):
         paths[name] = f"{folder.rstrip('/')}/{name}"
-        write_partitioned(df, paths[name], keys)
+        write_partitioned(df, paths[name], keys, sort=[F.desc("n_entities")])
     return paths
 
 

@@ -209,7 +209,7 @@ HELPERS = {
         from uni_now n join (select * from uni where run_date = {PREVIOUS}) o using (entity_id)""",
     "rule_income": """
         select * from uni_now where income > revenue and (revenue > 250 or income > 250)
-          and income / revenue > 2 and income > 0""",
+          and income > 2 * revenue and revenue >= 0 and income > 0""",
     "logs": """
         select entity_id, sector, revenue, income, employees, log10(revenue + 1) as lr, log10(employees) as le,
                case when md5(concat(cast(entity_id as varchar), '-1717')) < repeat('9', 32)

@@ -164,3 +164,13 @@ def test_mover_series_is_long_and_ranged(spark, rows, month):
 def test_history_counts_add_up(spark, month, how):
     df = scores(spark, [(month(m), i, 1.0) for i in range(5) for m in range(1, 4)])
     assert filters.history_counts(df, dedupe=how).agg(F.sum("n_months")).first()[0] == 15
+
+
+def test_captions(spark, rows):
+    df = spark.createDataFrame(
+        [("US", 3, 1.234, 2.0, 3.0), ("CA", None, None, None, None)],
+        "country string, n_companies long, country_cy_avg double, country_sus_avg double, country_mo_avg double")
+    assert rows(snapshots.country_tooltip(df)) == [
+        ("CA", None), ("US", "Country: US\nNumber of Companies: 3\nScore: 1.23\nSusceptibility: 2.00\nMotivation: 3.00")]
+    one = spark.createDataFrame([("a", 7)], "entity_name string, entity_id long")
+    assert one.select(snapshots.series_title()).first()[0] == "Scores for a\nid = 7"

@@ -34,6 +34,10 @@ def test_dashboard(spark, t, tmp_path):
     movers = spark.read.parquet(paths["movers_by_sector"])
     assert movers.count() == catalog._movers(t).count()
     assert paths["top_movers"].endswith("us/top_movers_2000_01")
+    japan = jobs.Region("jp", country_rule=False, exclude_sectors=catalog.EXCLUDED, top_n=100)
+    paths = jobs.dashboard_extract(
+        t.entity_snapshot.drop("country"), t.score, t.country_dim, catalog.LATEST, str(tmp_path), japan, period_months=12)
+    assert "country_scores" not in paths and csv(spark, paths["sector_scores"]).count() > 0
 
 
 def test_providers(spark, t, tmp_path):

@@ -29,6 +29,21 @@ def test_coverage_counts_entities_once(spark, rows, month, dims):
         (1, "one"), (2, "two"), (9, None)]
 
 
+def test_plot_lines(spark, rows, month, dims):
+    edges = spark.createDataFrame([(month(1), 1, 5, 1), (month(1), 1, 5, 2), (month(1), 1, 5, 3)], EDGE)
+    provider = spark.createDataFrame(
+        [(1, 10, "r1", "US", "CA"), (2, 10, "r2", None, None), (3, 20, "r3", "DE", None)],
+        "agg_id long, parent_agg_id long, region string, country_code string, stateprov string")
+    coverage = providers.coverage_by_provider(edges)
+    assert rows(providers.coverage_labelled(coverage, provider, dims[1]), "info") == [
+        ("Parent: p10, Type: cloud, Location: r1, US CA",), ("Parent: p10, Type: cloud, Location: r2",),
+        ("Parent: p20, Type: isp, Location: r3, DE",)]
+    parents = providers.coverage_by_parent(edges, *dims)
+    assert rows(providers.parent_coverage_labelled(parents, dims[1]), "info") == [
+        ("Parent: p10, Type: cloud",), ("Parent: p20, Type: isp",)]
+    assert rows(providers.coverage_axis_limit(parents, "parent_agg_id"), "max_entities") == [(1,), (1,)]
+
+
 def test_coverage_periods_are_inclusive(spark, month, dims):
     edges = spark.createDataFrame([(month(m), 1, 5, 1) for m in range(1, 6)], EDGE)
     assert providers.coverage_by_provider(edges, month(2), month(4)).count() == 3

@@ -88,13 +88,14 @@ def test_change_rules(spark, rows, month):
 def test_income_rule_and_review_list(spark, rows, month):
     b = month(6)
     df = spark.createDataFrame([
-        (b, 1, 100.0, 300.0), (b, 2, 100.0, -300.0), (b, 3, 200.0, 300.0), (b, 4, 1.0, 3.0), (b, 5, 0.0, 300.0)],
+        (b, 1, 100.0, 300.0), (b, 2, 100.0, -300.0), (b, 3, 200.0, 300.0), (b, 4, 1.0, 3.0), (b, 5, 0.0, 300.0),
+        (b, 6, -1.0, 300.0), (b, 7, None, 300.0)],
         "run_date date, entity_id long, revenue double, income double")
     found = outliers.income_above_revenue(df, b)
-    assert rows(found, "entity_id") == [(1,)]  # ratio of 5 is undefined
+    assert rows(found, "entity_id") == [(1,), (5,)]
     done = spark.createDataFrame([(9,)], "entity_id long")
     listed = outliers.review_list([found, df.filter("entity_id in (1, 3)"), df.filter("entity_id = 2")], done, [2])
-    assert rows(listed, "entity_id") == [(1,), (3,)]
+    assert rows(listed, "entity_id") == [(1,), (3,), (5,)]
     assert "run_date" not in outliers.report_form(listed).columns
 
 
