@@ -142,12 +142,12 @@ def fit_pca(moments: DataFrame, features: Sequence[str], group: str = "sector")
 
 
 def _part_trainer(
-    features: list[str], group: str, ids: str, hidden: int, epochs: int, seed: int, batch: int = 8
+    features: list[str], group: str, ids: str, hidden: int, epochs: int, seed: int
 ) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Task function: weights of tanh(z A + a) B + b for the rows of one part.
 
-    ``epochs`` passes of Adam in small batches, from rows in id order. Self-contained, so that workers
-    need no copy of this package.
+    ``epochs`` passes of Adam, each of at most about 500 small batches, from rows in id order.
+    Self-contained, so that workers need no copy of this package.
     """
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
@@ -156,6 +156,7 @@ def _part_trainer(
         shapes = [(d, hidden), (hidden,), (hidden, d), (d,)]
         sizes = [int(np.prod(s)) for s in shapes]
         cuts = np.cumsum(sizes)[:-1]
+        batch = max(8, len(z) // 500)
         rng = np.random.default_rng(seed)
         w = rng.normal(0, 0.5, sum(sizes))
         m, v, step = np.zeros_like(w), np.zeros_like(w), 0

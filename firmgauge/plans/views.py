@@ -99,11 +99,6 @@ VIEWS = {
 }
 
 
-def names_in(sql: str, known: dict[str, str]) -> list[str]:
-    """Known names the text uses, in the order of ``known``."""
-    return [name for name in known if re.search(rf"\b{name}\b", sql)]
-
-
 class Tables:
     """Logical tables of one data folder; ``tables.score`` is a lazy DataFrame."""
 
@@ -122,7 +117,8 @@ class Tables:
         if name not in VIEWS:
             raise AttributeError(name)
         if name not in self._known:
-            for table in names_in(VIEWS[name], dict.fromkeys(BASE, "")):
-                self.base(table).createOrReplaceTempView(table)
-            self._known[name] = self.spark.sql(VIEWS[name])
+            # DataFrames are passed by argument, so no view of the caller's session is replaced.
+            text = re.sub(r"\b(from|join) (\w+)", r"\1 {\2}", VIEWS[name])
+            used = {table: self.base(table) for table in re.findall(r"{(\w+)}", text)}
+            self._known[name] = self.spark.sql(text, **used)
         return self._known[name]
