@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from firmgauge.functions.columns import fixed, flag, share, with_bins
 from firmgauge.operators.ranking import average_ranks, cumulative_counts, exact_quantiles
-from firmgauge.operators.scale import hot_key_join, small_result
+from firmgauge.operators.scale import hot_key_join, materialise, small_result
 from firmgauge.schemas import BINS_DEFAULT, Bins
 
 
@@ -149,7 +149,7 @@ def histogram(
 
 def boxplot(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers (1.5 interquartile ranges) and number of points beyond them, per group."""
-    counts = cumulative_counts(df, value, [by])
+    counts = materialise(cumulative_counts(df, value, [by]))
     quartiles = small_result(
         exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by], counts)
     )
@@ -235,7 +235,8 @@ def corr_spearman(df: DataFrame, columns: Sequence[str], ids: str = "entity_id")
     holding a large part of the rows is spread over several tasks.
     """
     columns = list(columns)
-    known = df.select(ids, *(F.col(c).cast("double") for c in columns)).na.drop("any")
+    # Read three times: for the ranks, the hot values and the join.
+    known = materialise(df.select(ids, *(F.col(c).cast("double") for c in columns)).na.drop("any"))
     long = known.unpivot([ids], columns, "variable", "value")
     counts = cumulative_counts(long, "value", ["variable"])
     ranks = counts.select("variable", "value", average_ranks(counts).alias("rank"))
