@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe
+from firmgauge.llm import bpe, exact_dedup, urls
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -24,7 +24,33 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op3_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    return exact_dedup.exact_groups(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP6_SQL = """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
+       doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))
+"""
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_urls": op3_urls,
+    "op6_exact_dedup": op6_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": OP6_SQL,
 }
-ORACLES: dict[str, str] = {}
