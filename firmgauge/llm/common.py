@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,42 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def contiguous(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a string column; a null is empty."""
+    column = pa.concat_arrays([column.fill_null("").cast(pa.large_string())])
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return offsets, np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+
+
+def split_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(offsets, codes, dictionary): the words of each text, separated by ASCII white space.
+
+    The words of text i are ``dictionary[codes[offsets[i]:offsets[i + 1]]]``. ``lower`` changes A-Z only.
+    """
+    column = pc.ascii_trim_whitespace(column.fill_null("").cast(pa.large_string()))
+    if lower:
+        column = pc.ascii_lower(column)
+    parts = pc.ascii_split_whitespace(column)
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    empty = np.diff(np.concatenate([[0], pc.equal(flat, "").to_numpy(zero_copy_only=False).cumsum()])).astype(bool)
+    if empty.any():  # an empty text gives one empty word
+        kept = np.concatenate([[0], np.cumsum(~empty)])
+        flat, offsets = flat.filter(pa.array(~empty)), kept[offsets]
+    coded = flat.dictionary_encode()
+    return offsets, coded.indices.to_numpy(), coded.dictionary
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of ``batch`` with about ``most`` bytes in a string column (one long text may exceed it)."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

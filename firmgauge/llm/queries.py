@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, exact_dedup, urls
+from firmgauge.llm import bpe, exact_dedup, quality, urls
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,12 @@ def op3_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.quality(table(spark, folder, "documents"), keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.exact_groups(table(spark, folder, "documents")).select(
@@ -49,6 +55,7 @@ from documents window g as (partition by coalesce(text, ''))
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_urls": op3_urls,
+    "op4_quality": op4_quality,
     "op6_exact_dedup": op6_exact_dedup,
 }
 ORACLES: dict[str, str] = {
