@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, exact_dedup, quality, urls
+from firmgauge.llm import bpe, exact_dedup, jaccard, quality, urls
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -39,6 +39,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of near copies of every document."""
+    return jaccard.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.exact_groups(table(spark, folder, "documents")).select(
@@ -56,6 +61,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_urls": op3_urls,
     "op4_quality": op4_quality,
+    "op5_jaccard": op5_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
 }
 ORACLES: dict[str, str] = {
