@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, exact_dedup, jaccard, quality, urls
+from firmgauge.llm import bpe, exact_dedup, extraction, jaccard, quality, urls
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,12 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(table(spark, folder, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 OP6_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_jaccard": op5_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_extraction": op7_extraction,
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
