@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from firmgauge.llm.common import fresh, pick
 
 #: A task forgets its known words when there are more, between two batches of rows.
-WORDS_KEPT = 1_000_000
-#: Tokens in one record batch that goes back to Spark (one long text may exceed it).
-TOKENS_OUT = 2_000_000
+WORDS_KEPT = 400_000
+#: Bytes of text, or of ids, that a task works on at once (one long row may exceed it).
+BYTES_AT_ONCE = 4_000_000
 NONE = np.int32(2**31 - 1)
 #: Single spaces between other characters.
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -281,31 +281,30 @@ def read_lines(path: str) -> bytes:
 
 
 def _spread(rows: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
-    """Every input column, and a list or binary column made by ``make`` from the batch, in bounded pieces."""
+    """The columns of each batch, the last one replaced by what ``make`` gives for it, in bounded pieces."""
     for batch in rows:
-        at, kept, size = 0, [], 0
-        for value in make(batch):
-            kept.append(value)
-            size += len(value)
-            if size > TOKENS_OUT:
-                yield from _piece(batch, at, kept)
-                at, kept, size = at + len(kept), [], 0
-        yield from _piece(batch, at, kept)
-
-
-def _piece(batch: pa.RecordBatch, at: int, kept: list) -> Iterator[pa.RecordBatch]:
-    if not kept:
-        return
-    offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])])
-    flat = np.concatenate(kept)
+        last = batch.column(batch.num_columns - 1)
+        sizes = pc.list_value_length(last) if pa.types.is_list(last.type) else pc.binary_length(last)
+        width = last.type.value_type.bit_width // 8 if pa.types.is_list(last.type) else 1
+        ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * width)
+        at = 0
+        while at < len(last):
+            done = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + BYTES_AT_ONCE, side="right")))
+            part = batch.slice(at, end - at)
+            yield _piece(part, list(make(part.column(part.num_columns - 1))))
+            at = end
+
+
+def _piece(batch: pa.RecordBatch, made: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])])
+    flat = np.concatenate(made)
     if flat.dtype == np.uint8:
-        made = pa.Array.from_buffers(
-            pa.large_binary(), len(kept), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]
-        ).cast(pa.binary())
+        column = pa.Array.from_buffers(
+            pa.binary(), len(made), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
     else:
-        made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-    names = [f.name for f in batch.schema][:-1]
-    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(kept)) for i in range(len(names))), made], [*names, "made"])
+        column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*batch.schema.names[:-1], "made"])
 
 
 def encode(docs: DataFrame, lines: bytes, pattern: str, text: str = "text", keep: list[str] | None = None,
@@ -325,7 +324,7 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, text: str = "text", keep
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (hash(shared.value), pattern, apart_at_spaces)
         encoder = _kept(key, lambda: Encoder(Vocabulary(shared.value), pattern, apart_at_spaces))
-        for piece in _spread(rows, lambda b: encoder.encode(b.column(b.num_columns - 1))):
+        for piece in _spread(rows, encoder.encode):
             yield piece.rename_columns([*piece.schema.names[:-1], output])
 
     schema = T.StructType([*plain.schema.fields[:-1], T.StructField(output, T.ArrayType(T.IntegerType(), False))])
@@ -343,8 +342,7 @@ def decode(tokens: DataFrame, lines: bytes, ids: str = "ids", keep: list[str] |
     (source,) = fresh(tokens.select(*keep), "encoded_ids")
     plain = tokens.select(*keep, F.col(ids).alias(source))
 
-    def pieces(batch: pa.RecordBatch, v: Vocabulary) -> Iterator[np.ndarray]:
-        column = batch.column(batch.num_columns - 1)
+    def pieces(column: pa.Array, v: Vocabulary) -> Iterator[np.ndarray]:
         for i in range(len(column)):
             row = column[i]
             n = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.empty(0, np.int32)
@@ -354,7 +352,7 @@ def decode(tokens: DataFrame, lines: bytes, ids: str = "ids", keep: list[str] |
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _kept((hash(shared.value),), lambda: Vocabulary(shared.value))
-        for piece in _spread(rows, lambda b: pieces(b, v)):
+        for piece in _spread(rows, lambda column: pieces(column, v)):
             yield piece.rename_columns([*piece.schema.names[:-1], output])
 
     schema = T.StructType([*plain.schema.fields[:-1], T.StructField(output, T.BinaryType())])
