@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, exact_dedup, extraction, jaccard, quality, urls
+from firmgauge.llm import bpe, classifier, exact_dedup, extraction, jaccard, quality, urls
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -56,6 +56,11 @@ def op7_extraction(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op10_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumnRenamed("id", "doc_id")
+
+
 OP6_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
@@ -70,6 +75,7 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_extraction": op7_extraction,
+    "op10_classifier": op10_classifier,
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
