@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, classifier, exact_dedup, extraction, jaccard, quality, urls
+from firmgauge.llm import bpe, classifier, exact_dedup, extraction, jaccard, line_dedup, mixing, quality, urls
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,6 +61,27 @@ def op10_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumnRenamed("id", "doc_id")
 
 
+#: Targets by level; sources are weighted alike.
+MIX = mixing.Mix(budget=0.8, epochs=2, weights={
+    "domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}})
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The tables name no domain: three groups of sources stand for domains."""
+    return docs.withColumn("domain", F.concat(F.lit("domain"), F.crc32(F.coalesce("source", F.lit(""))) % 3))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often every document is taken, by domain, language and source."""
+    docs = with_domain(table(spark, folder, "documents"))
+    return mixing.mix_documents(docs, ["domain", "lang", "source"], MIX, keep=["doc_id", "domain", "lang", "source"])
+
+
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    return line_dedup.dedup_lines(table(spark, folder, "documents"), keep=["doc_id"])
+
+
 OP6_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
@@ -75,6 +96,8 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_extraction": op7_extraction,
+    "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_classifier": op10_classifier,
 }
 ORACLES: dict[str, str] = {
