@@ -6,18 +6,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, queries
+from firmgauge.llm import bpe, exact_dedup, jaccard, mixing, quality, queries
 from firmgauge.llm.common import stored, table
 
+#: Nearly all tokens are taken once: a source loses documents only where its weight asks for less than it has.
+MIX = mixing.Mix(budget=0.95, epochs=1, weights={"lang": {"en": 4.0, "de": 1.0, "fr": 1.0, "es": 1.0}})
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns in ``row``, beside those that stages work on: new columns can't clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang", "source")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.quality(packed(docs), keep=["row"]).where("kept").select("row.*")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, the one with the smallest id.
+
+    Rows of one id go together; a row without an id stays.
+    """
+    found = jaccard.near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("doc_id"))
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the budgets of domain, language and source take; with one epoch each at most once."""
+    taken = mixing.mix_documents(queries.with_domain(packed(docs)), ["domain", "lang", "source"], MIX, keep=["row"])
+    return taken.where("copies > 0").select("row.*")
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text."""
+    """The token ids of every text, and the number of them."""
     lines = bpe.read_lines(public_tokenizers.path(queries.RANKS))
-    ids = bpe.encode(docs, lines, public_tokenizers.PATTERN, apart_at_spaces=True)
+    keep = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    ids = bpe.encode(docs, lines, public_tokenizers.PATTERN, keep=keep, apart_at_spaces=True)
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("quality", good), ("exact", distinct), ("near", apart), ("mix", mixed), ("bpe", encode)]
+#: The stages can't be told in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 

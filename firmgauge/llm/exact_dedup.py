@@ -17,12 +17,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmgauge.llm.common import shared_folder, stored
+from firmgauge.llm.common import fresh, shared_folder, stored
 
 #: How the stream keeps its state: on each executor's disk with bounded memory, saved to the shared folder.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -126,9 +127,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         docs.select("_metadata.row_index")
     except AnalysisException:
         docs = stored(docs, "located")
-    stay = exact_groups(docs, id, text).where("kept").select(
-        F.col("file").alias("_stay_file"), F.col("row").alias("_stay_row"))
-    placed = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return placed.join(
-        stay, (F.col("_file") == F.col("_stay_file")) & (F.col("_row") == F.col("_stay_row")), "left_semi"
-    ).drop("_file", "_row")
+    file, row, stay_file, stay_row = fresh(docs, "stay_file", "stay_row", "kept_file", "kept_row")
+    stay = exact_groups(docs, id, text).where("kept").select(F.col("file").alias(stay_file), F.col("row").alias(stay_row))
+    placed = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return placed.join(stay, (F.col(file) == F.col(stay_file)) & (F.col(row) == F.col(stay_row)), "left_semi").select(*docs.columns)

@@ -6,12 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, classifier, exact_dedup, extraction, jaccard, line_dedup, mixing, quality, urls
+from firmgauge.llm import bpe, classifier, exact_dedup, extraction, jaccard, licenses, line_dedup, mixing, quality, urls
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document, found in it or inherited.
+
+    The tables name no paths: a document is the file source/lang/group/doc_id, with a hundred ids in a group.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    group = F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none"))
+    path = F.concat_ws("/", part("source"), part("lang"), group, part("doc_id"))
+    docs = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan_files(docs).select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "found_by", "licence_dir")
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text and their way back, as digests."""
     lines = bpe.read_lines(public_tokenizers.path(RANKS))
@@ -90,6 +102,7 @@ from documents window g as (partition by coalesce(text, ''))
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_bpe": op2_bpe,
     "op3_urls": op3_urls,
     "op4_quality": op4_quality,
