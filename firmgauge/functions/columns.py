@@ -113,11 +113,11 @@ def month_suffix(date: Column | str) -> Column:
     return F.date_format(_col(date), "yyyy_MM")
 
 
-def blank_nulls(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Report form: every column as text, nulls as empty text."""
+def blank_nulls(df: DataFrame, digits: int | None = None) -> DataFrame:
+    """Report form: every column as text, nulls as empty text; ``digits`` rounds, else values are whole."""
 
     def text(field: T.StructField) -> Column:
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        if digits is not None and isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             return fixed(field.name, digits)
         return F.col(field.name).cast("string")
 

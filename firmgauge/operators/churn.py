@@ -12,7 +12,6 @@ from firmgauge.operators.filters import in_periods
 from firmgauge.operators.providers import with_parent
 from firmgauge.operators.scale import hot_key_join, sized_broadcast
 
-CHANGE_TYPES = ("switch location", "new IPs", "disappeared IPs")
 
 
 def _period_counts(rows: DataFrame, previous: dt.date, latest: dt.date) -> DataFrame:

@@ -81,6 +81,6 @@ def change_list(
     return kept.drop("prev_sector", "prev_revenue", "prev_income").distinct()
 
 
-def report_form(df: DataFrame) -> DataFrame:
+def report_form(df: DataFrame, digits: int | None = None) -> DataFrame:
     """Report rows: without the period, as text with blanks."""
-    return blank_nulls(df.drop("run_date"))
+    return blank_nulls(df.drop("run_date"), digits)

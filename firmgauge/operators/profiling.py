@@ -228,21 +228,23 @@ def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _pearson(df, columns, "pearson")
 
 
-def corr_spearman(df: DataFrame, columns: Sequence[str], ids: str = "entity_id") -> DataFrame:
+def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman correlation of every pair, over the rows where all columns are known.
 
     All columns are ranked in one pass in long form. Ranks go back to the rows by value; a value
-    holding a large part of the rows is spread over several tasks.
+    holding a large part of the rows is spread over several tasks. Rows are told apart by a number
+    of their own, so an entity may have several.
     """
     columns = list(columns)
     # Read three times: for the ranks, the hot values and the join.
-    known = materialise(df.select(ids, *(F.col(c).cast("double") for c in columns)).na.drop("any"))
-    long = known.unpivot([ids], columns, "variable", "value")
+    numbers = df.select(*(F.col(c).cast("double") for c in columns)).na.drop("any")
+    known = materialise(numbers.withColumn("_row", F.monotonically_increasing_id()), required=True)
+    long = known.unpivot(["_row"], columns, "variable", "value")
     counts = cumulative_counts(long, "value", ["variable"])
     ranks = counts.select("variable", "value", average_ranks(counts).alias("rank"))
     # A value with a hundredth of one column's rows is hot.
-    ranked = hot_key_join(long, ranks, ["variable", "value"], share=0.01 / len(columns))
-    wide = ranked.groupBy(ids).agg(
+    ranked = hot_key_join(long, ranks, ["variable", "value"], share=max(0.0005, 0.01 / len(columns)))
+    wide = ranked.groupBy("_row").agg(
         *(F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(c) for c in columns)
     )
     return _pearson(wide, columns, "spearman")

@@ -64,8 +64,9 @@ def coverage_labelled(
     names = providers.join(
         sized_broadcast(parent_dim.select("parent_agg_id", "parent", "type")), "parent_agg_id", "left"
     )
-    inner = [c for c in places if c != "region"]
-    place = F.concat_ws(", ", *places[:1], *([F.nullif(F.concat_ws(" ", *inner), F.lit(""))] if inner else []))
+    region = [F.col(c) for c in places if c == "region"]
+    inner = F.concat_ws(" ", *(c for c in places if c != "region"))
+    place = F.concat_ws(", ", *region, F.nullif(inner, F.lit("")))
     info = F.concat(F.lit("Parent: "), "parent", F.lit(", Type: "), "type", F.lit(", Location: "), place)
     labelled = coverage.join(sized_broadcast(names), "agg_id", "left").withColumn("info", info)
     return labelled.drop("parent_agg_id", "parent", "type", *places)

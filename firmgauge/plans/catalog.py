@@ -311,6 +311,15 @@ def coverage_labelled(t: Tables) -> DataFrame:
     return providers.coverage_labelled(coverage, t.provider_dim, t.parent_dim)
 
 
+@query
+def coverage_labelled_states(t: Tables) -> DataFrame:
+    """Labels from a provider table with country and state and without regions."""
+    coverage = providers.coverage_by_provider(t.provider_edge, FIRST_OF_SEVEN, LATEST)
+    places = F.lit("US").alias("country_code"), F.col("region").alias("stateprov")
+    dim = t.provider_dim.select("agg_id", "parent_agg_id", *places)
+    return providers.coverage_labelled(coverage, dim, t.parent_dim)
+
+
 @query
 def coverage_axis_limit(t: Tables) -> DataFrame:
     coverage = providers.coverage_by_provider(t.provider_edge, FIRST_OF_SEVEN, LATEST)
@@ -556,13 +565,13 @@ def _review(t: Tables) -> DataFrame:
 
 @query
 def outlier_review_list(t: Tables) -> DataFrame:
-    return outliers.report_form(_review(t))
+    return outliers.report_form(_review(t), 4)
 
 
 @query
 def outlier_change_list(t: Tables) -> DataFrame:
     listed = outliers.change_list(_changes(t), _review(t), t.reviewed, rules=RULES)
-    return outliers.report_form(listed)
+    return outliers.report_form(listed, 4)
 
 
 # --- profiling ------------------------------------------------------------------------------
@@ -574,15 +583,19 @@ def _dmarc(t: Tables) -> DataFrame:
     return profiling.with_policy(t.email_dmarc)
 
 
+_EMAIL_COLUMNS = ("entity_id", "agg_cnt", "total_records_cnt", "min_public_key_length", "max_public_key_length",
+                  "sector", "country", "revenue", "revenue_bin")
+
+
 @query
 def fill_rate(t: Tables) -> DataFrame:
     joined = profiling.with_company(t.email_dkim, t.email_entity)
-    return rounded(profiling.fill_rate(joined, ["entity_id", "agg_cnt", "sector", "country", "revenue"]))
+    return rounded(profiling.fill_rate(joined.select(*_EMAIL_COLUMNS)))
 
 
 @query
 def table_profile(t: Tables) -> DataFrame:
-    return profiling.table_profile(t.orders.drop("o_orderdate"))
+    return profiling.table_profile(t.orders)
 
 
 @query
@@ -662,7 +675,13 @@ def histogram_log(t: Tables) -> DataFrame:
 
 @query
 def histogram_by_sector(t: Tables) -> DataFrame:
-    return profiling.histogram(_scored(t, False), "outlier_score", 100, by=["sector"], clip=(0.0, 2.0))
+    return profiling.histogram(_scored(t, False), "outlier_score", 100, by=["sector"])
+
+
+@query
+def histogram_clipped(t: Tables) -> DataFrame:
+    """All sectors together: the plot's range leaves out higher scores."""
+    return profiling.histogram(_scored(t, False), "outlier_score", 100, clip=(0.0, 2.0))
 
 
 @query
@@ -684,6 +703,12 @@ def corr_spearman(t: Tables) -> DataFrame:
     return rounded(profiling.corr_spearman(filters.at_period(_two_periods(t), LATEST), _NUMBERS))
 
 
+@query
+def corr_spearman_periods(t: Tables) -> DataFrame:
+    """Over both periods: an entity has two rows."""
+    return rounded(profiling.corr_spearman(_two_periods(t), _NUMBERS))
+
+
 # --- access ---------------------------------------------------------------------------------
 def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:

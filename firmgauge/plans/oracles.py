@@ -310,7 +310,7 @@ def _with(sql: str) -> str:
 _NUMBERS = ("revenue", "income", "employees", "cy", "mo", "sus")
 _PAIRS = [(x, y) for i, x in enumerate(_NUMBERS) for y in _NUMBERS[i + 1:]]
 _PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
-             "o_orderpriority": "string"}
+             "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 
 
 def _as_text(column: str, kind: str) -> str:
@@ -471,6 +471,9 @@ _SQL = {
     "coverage_labelled": """select agg_id, run_date, num_entities,
         'Parent: ' || parent || ', Type: ' || type || ', Location: ' || region as info
         from coverage left join provider_dim using (agg_id) left join parent_dim using (parent_agg_id)""",
+    "coverage_labelled_states": """select agg_id, run_date, num_entities,
+        'Parent: ' || parent || ', Type: ' || type || ', Location: US' || coalesce(' ' || region, '') as info
+        from coverage left join provider_dim using (agg_id) left join parent_dim using (parent_agg_id)""",
     "coverage_axis_limit": f"""select agg_id, max_entities, {_r('ceil(max_entities / s) * s + s', 'axis_limit')}
         from (select *, power(10, ceil(log10(max_entities)) - 2) as s
               from (select agg_id, max(num_entities) as max_entities from coverage group by agg_id))""",
@@ -566,7 +569,8 @@ _SQL = {
         f"""select '{c}' as column_name, {_r(f'avg(case when {c} is null then 1.0 else 0.0 end)', 'null_share')},
             {_r(f"avg(case when cast({c} as varchar) = '' then 1.0 else 0.0 end)", 'empty_share')},
             {_r(f"avg(case when {c} is null or cast({c} as varchar) = '' then 0.0 else 1.0 end)", 'value_share')}
-            from dkim_company""" for c in ("entity_id", "agg_cnt", "sector", "country", "revenue")),
+            from dkim_company""" for c in ("entity_id", "agg_cnt", "total_records_cnt", "min_public_key_length", "max_public_key_length",
+                                           "sector", "country", "revenue", "revenue_bin")),
     "table_profile": " union all ".join(
         f"""select '{c}' as column_name, '{kind}' as data_type, count({c}) as non_null,
             count(*) - count({c}) as nulls, {_as_text(f'min({c})', kind)} as min_value,
@@ -602,7 +606,10 @@ _SQL = {
               from uni_now where revenue > 0) group by 1""",
     "histogram_by_sector": """select sector, cast(least(floor((x - lo) * 100 / (hi - lo)), 99) as int) as bin, count(*) as n
         from (select sector, outlier_score as x, min(outlier_score) over () as lo, max(outlier_score) over () as hi
-              from recon2 where outlier_score between 0 and 2) group by 1, 2""",
+              from recon2) group by 1, 2""",
+    "histogram_clipped": """select cast(least(floor((x - lo) * 100 / (hi - lo)), 99) as int) as bin, count(*) as n
+        from (select outlier_score as x, min(outlier_score) over () as lo, max(outlier_score) over () as hi
+              from recon2 where outlier_score between 0 and 2) group by 1""",
     "linear_fit_by_sector": f"""select sector, count(*) as n, {_r('regr_slope(e, r)', 'slope')},
         {_r('regr_intercept(e, r)', 'intercept')}, {_r('regr_r2(e, r)', 'r2')} from norm2 group by sector""",
     "corr_pearson": " union all ".join(
@@ -611,6 +618,10 @@ _SQL = {
         f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in _NUMBERS)
     + " from numbers) " + " union all ".join(
         f"select '{x}' as x, '{y}' as y, {_r(f'corr({x}, {y})', 'spearman')} from ranks" for x, y in _PAIRS),
+    "corr_spearman_periods": "with ranks as (select " + ", ".join(
+        f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in _NUMBERS)
+    + " from two_periods) " + " union all ".join(
+        f"select '{x}' as x, '{y}' as y, {_r(f'corr({x}, {y})', 'spearman')} from ranks" for x, y in _PAIRS),
 }
 
 

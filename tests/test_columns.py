@@ -63,9 +63,11 @@ def test_dates_and_texts(spark):
 
 def test_blank_nulls_has_no_exponents(spark):
     df = spark.createDataFrame([(1, 1.5e9, None), (2, None, "")], "i int, x double, s string")
-    assert [tuple(r) for r in C.blank_nulls(df).orderBy("i").collect()] == [
+    assert [tuple(r) for r in C.blank_nulls(df, 4).orderBy("i").collect()] == [
         ("1", "1500000000.0000", ""), ("2", "", ""),
     ]
+    whole = spark.createDataFrame([(1 / 3,)], "x double")
+    assert float(C.blank_nulls(whole).first()[0]) == 1 / 3
 
 
 def test_mean_null_policies(spark):

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from firmgauge.operators import profiling
 from firmgauge.schemas import BINS_DEFAULT
@@ -43,6 +44,8 @@ def test_correlations(spark):
     s = {(r["x"], r["y"]): r["spearman"] for r in profiling.corr_spearman(df, ["x", "y", "c"]).collect()}
     assert s["x", "y"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
     assert s["y", "c"] is None
+    same = profiling.corr_spearman(df.withColumn("entity_id", F.lit(1)), ["x", "y", "c"]).collect()
+    assert {(r["x"], r["y"]): r["spearman"] for r in same} == pytest.approx(s)
 
 
 def test_kde_matches_direct_sum_and_integrates_to_one(spark):
