@@ -86,9 +86,6 @@ def scan_lines(files: DataFrame, scan: Scan = Scan()) -> DataFrame:
 
     ``files``: key, named, text. Ties go to the licence that comes first by name.
     """
-
-
-
     spark = files.sparkSession
     weight, other = vocabulary(files)
     rows, must = [], set()

@@ -2,9 +2,9 @@
 
 Paths are read level by level. A segment that looks variable (numbers, hex strings, dates, mixed
 long tokens), or that too few of its siblings' urls share, becomes a wildcard. Remaining siblings
-whose labelled shares don't differ by a two-proportion test are merged into one branch. The
-leaves are templates; a template is rejected if the smoothed share of blocked ones among its
-labelled urls is high. All steps are grouped sums over distinct (host, path) pairs and joins on
+whose labelled shares don't differ by a two-proportion test are merged into one branch; those without
+labels are merged among themselves. The leaves are templates; a template is rejected if the smoothed
+share of blocked ones among its labelled urls is high. All steps are grouped sums over distinct (host, path) pairs and joins on
 (host, branch, segment); what is kept apart under a branch is bounded by ``1 / min_share``.
 """
 
@@ -90,14 +90,15 @@ def templates(pairs: DataFrame, tree: TreeRules = TreeRules()) -> DataFrame:
         # At most 1 / min_share siblings are left under a branch: the window's groups are bounded.
         share = (F.col("blocked") + tree.prior) / (F.col("labelled") + 2 * tree.prior)
         spread = share * (1 - share) / (F.col("labelled") + 2 * tree.prior)
-        order = Window.partitionBy("host", "branch").orderBy("share", "segment")
+        # Nothing is known of siblings without labels: they are merged among themselves only.
+        order = Window.partitionBy("host", "branch", "known").orderBy("share", "segment")
         test = F.abs(F.col("share") - F.lag("share").over(order)) / F.sqrt(F.col("spread") + F.lag("spread").over(order))
-        grouped = literal.withColumns({"share": share, "spread": spread}).withColumn(
+        grouped = literal.withColumns({"share": share, "spread": spread, "known": F.col("labelled") > 0}).withColumn(
             "new", F.coalesce((test >= tree.z).cast("int"), F.lit(0))).withColumn(
             "family", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        names = grouped.groupBy("host", "branch", "family").agg(
+        names = grouped.groupBy("host", "branch", "known", "family").agg(
             F.array_join(F.array_sort(F.collect_list("segment")), "|").alias("name"))
-        mapped = grouped.join(names, ["host", "branch", "family"]).select("host", "branch", "segment", "name")
+        mapped = grouped.join(names, ["host", "branch", "known", "family"]).select("host", "branch", "segment", "name")
         wild = F.when(F.col("segment").rlike("^<.*>$"), F.col("segment")).otherwise(F.lit("*"))
         step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
             F.concat(F.lit("/"), F.coalesce(F.col("name"), wild)))
