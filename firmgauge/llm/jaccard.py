@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from firmgauge.llm.common import fresh, slices, split_words, stored
 from firmgauge.llm.components import merge_labels
 
-BYTES_AT_ONCE = 16_000_000
+BYTES_AT_ONCE = 4_000_000
 #: Tokens in one hash range; the number of ranges follows from it.
 RANGE_TOKENS = 2_000_000
 #: A token in this share of all sets is kept out of the ranges.
@@ -70,11 +70,11 @@ def shingles(column: pa.Array, width: int) -> list[np.ndarray]:
 
 def set_key(tokens: np.ndarray) -> bytes:
     """Name of a set: digest of its tokens, then their number in four bytes."""
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() + len(tokens).to_bytes(4, "big")
+    return hashlib.blake2b(tokens.tobytes(), digest_size=12).digest() + len(tokens).to_bytes(4, "big")
 
 
 def _size(key: str):
-    return F.conv(F.hex(F.substring(key, 17, 4)), 16, 10).cast("long")
+    return F.conv(F.hex(F.substring(key, 13, 4)), 16, 10).cast("long")
 
 
 def _sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
 def _chunks(docs: DataFrame, text: str, width: int, ranges: int, heavy) -> DataFrame:
     """Tokens of the distinct sets of a batch by hash range: (range, keys, tokens, owners).
 
-    Range -1 has the heavy tokens. ``owners`` are places in ``keys``, 20 bytes each.
+    Heavy tokens are in negative ranges, by set. ``owners`` are places in ``keys``, 16 bytes each.
     """
     plain = docs.select(F.col(text).alias("text"))
     shift = np.uint64(64 - ranges.bit_length() + 1)
@@ -124,11 +124,12 @@ def _chunks(docs: DataFrame, text: str, width: int, ranges: int, heavy) -> DataF
                 at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
                 apart = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
                 place = (tokens >> shift).astype(np.int32) if ranges > 1 else np.zeros(len(tokens), np.int32)
-                place[apart] = -1
+                home = np.fromiter((int.from_bytes(k[:4], "big") % ranges for k in sets), np.int32, len(sets))
+                place[apart] = -1 - home[owners[apart]]
                 order = np.argsort(place, kind="stable")
                 place, tokens, owners = place[order], tokens[order], owners[order]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
-                all_keys = np.frombuffer(b"".join(sets), "V20")
+                all_keys = np.frombuffer(b"".join(sets), "V16")
                 out: list[list] = [[], [], [], []]
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     used, local = np.unique(owners[a:b], return_inverse=True)
@@ -144,7 +145,7 @@ def _chunks(docs: DataFrame, text: str, width: int, ranges: int, heavy) -> DataF
 def _unpack(keys: bytes, tokens: bytes, owners: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     token = np.frombuffer(tokens, np.uint64)
     owner = np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(token) else np.uint32)
-    return np.frombuffer(keys, "V20"), token, owner.astype(np.int64)
+    return np.frombuffer(keys, "V16"), token, owner.astype(np.int64)
 
 
 SHARED = "key binary, tokens array<bigint>, times array<int>"
@@ -165,13 +166,23 @@ def _per_set(keys: list[bytes], token: np.ndarray, owner: np.ndarray, times: np.
 def _count_range(group: pa.Table) -> pa.Table:
     """Of one hash range: each set with its tokens that other sets have too, and in how many sets each is."""
     number: dict[bytes, int] = {}
-    tokens, owners = [], []
+    seen: set[bytes] = set()
+    tokens, owners, out = [], [], []
+    heavy = group.column("range")[0].as_py() < 0
     for row in group.select(["keys", "tokens", "owners"]).to_batches():
         for keys, token, owner in zip(*(c.to_pylist() for c in row.columns)):
             names, token, owner = _unpack(keys, token, owner)
+            if heavy:
+                new = np.fromiter((k not in seen for k in names.tolist()), bool, len(names))
+                seen.update(names.tolist())
+                token, owner = token[new[owner]], owner[new[owner]]
+                out.append(_per_set(names.tolist(), token, owner, np.full(len(token), 2**31 - 1)))
+                continue
             named = np.fromiter((number.setdefault(k, len(number)) for k in names.tolist()), np.int64, len(names))
             tokens.append(token)
             owners.append(named[owner])
+    if heavy:  # nothing to count: these tokens are known to be in very many sets
+        return pa.concat_tables(out)
     token, owner = np.concatenate(tokens), np.concatenate(owners)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
@@ -189,13 +200,6 @@ def _count_range(group: pa.Table) -> pa.Table:
     return _per_set(list(number), token[kept], owner[kept], times[kept])
 
 
-def _heavy_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for keys, token, owner in zip(*(c.to_pylist() for c in batch.columns)):
-            names, token, owner = _unpack(keys, token, owner)
-            yield from _per_set(names.tolist(), token, owner, np.full(len(token), 2**31 - 1)).to_batches()
-
-
 def _mix(token: np.ndarray, order: int) -> np.ndarray:
     h = token ^ np.uint64((0x9E3779B97F4A7C15 * (order + 1)) % 2**64)
     h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -212,7 +216,7 @@ def _prefixes(percent: int):
                 key = batch.column(0)[i].as_py()
                 token, first = np.unique(batch.column(1)[i].values.to_numpy().view(np.uint64), return_index=True)
                 times = batch.column(2)[i].values.to_numpy()[first].astype(np.uint64)
-                n = int.from_bytes(key[16:], "big")
+                n = int.from_bytes(key[12:], "big")
                 length = n + percent * n // -100 + 1 - (n - len(token))  # prefix less the tokens of this set alone
                 if length <= 0:
                     continue
@@ -242,7 +246,7 @@ def _verify(percent: int):
                 if not all(len(np.intersect1d(x[r * px : (r + 1) * px], y[r * py : (r + 1) * py], True)) for r in range(ORDERS - 1)):
                     continue
                 both = len(np.intersect1d(get("a_tokens", i), get("b_tokens", i), True))
-                n = int.from_bytes(a[i][16:], "big") + int.from_bytes(b[i][16:], "big")
+                n = int.from_bytes(a[i][12:], "big") + int.from_bytes(b[i][12:], "big")
                 if 100 * both >= percent * (n - both):
                     linked.append(i)
             yield pa.RecordBatch.from_arrays(
@@ -307,10 +311,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     frequent = np.sort(np.array([r[0] for r in heavy.collect()], np.int64).view(np.uint64))
     ranges = 1 << max(0, (tokens // RANGE_TOKENS).bit_length())
     chunks = _chunks(docs, text, width, ranges, spark.sparkContext.broadcast(frequent))
-    dealt = stored(chunks, "chunks") if len(frequent) else chunks
-    shared = dealt.where("range >= 0").groupBy("range").applyInArrow(_count_range, SHARED)
-    if len(frequent):
-        shared = shared.unionByName(dealt.where("range < 0").select("keys", "tokens", "owners").mapInArrow(_heavy_rows, SHARED))
+    shared = chunks.groupBy("range").applyInArrow(_count_range, SHARED)
     per_set = shared.groupBy("key").agg(
         F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("times")).alias("times")).where(
         100 * F.size("tokens") >= percent * _size("key"))
