@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmgauge.llm import bpe, classifier, exact_dedup, extraction, jaccard, licenses, line_dedup, mixing, quality, urls
+from firmgauge.llm import (
+    bpe, classifier, exact_dedup, extraction, jaccard, licenses, line_dedup, lm, mixing, prefix_trie, quality, spelling, urls,
+)
 from firmgauge.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -94,6 +96,117 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents"), keep=["doc_id"])
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words of all documents with the form that they are a variant of."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document."""
+    return lm.score(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: CRC-32 of UTF-8 bytes by its table of 256 entries, which is built by the rule.
+CRC_SQL = """
+create_table as (
+    select list_transform(range(256), lambda i: list_reduce(list_prepend(i::ubigint, list_transform(range(8), lambda k: 0::ubigint)),
+        lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end)) as crc_table
+)"""
+
+
+def crc_sql(bytes_: str) -> str:
+    """SQL of the CRC-32 of a list of bytes, beside ``create_table``."""
+    return (f"xor(list_reduce(list_prepend(4294967295::ubigint, {bytes_}), "
+            "lambda c, b: xor(c // 256, crc_table[(xor(c, b) % 256)::int + 1])), 4294967295::ubigint)")
+
+
+OP11_SQL = f"""
+with recursive {CRC_SQL},
+runs as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run
+    from documents
+),
+counted as (select doc_id, run, count(*) as k from runs group by all),
+hashed as (
+    select run, k, {crc_sql("""flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda ch:
+        case when ord(ch) < 128 then [ord(ch)::ubigint] else [(192 + ord(ch) // 64)::ubigint, (128 + ord(ch) % 64)::ubigint] end))""")} as h
+    from counted, create_table
+),
+slipped as (
+    select k, case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word
+    from hashed
+),
+words as (select word, sum(k)::bigint as n from slipped where length(word) >= 6 group by word having sum(k) >= 5),
+holes as (
+    select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+    from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+),
+near as (
+    select a.word, b.word as near, b.n as near_n from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select a.word, b.word, b.n from holes a join words b on a.rest = b.word
+    union select b.word, a.word, a.n from holes a join words b on a.rest = b.word
+),
+best as (select word, count(*) as n_near, max(near_n) as top from near group by word),
+forms as (
+    select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.top >= 5 * w.n then b.top end as form_n,
+           case when b.top >= 5 * w.n then (select min(near) from near x where x.word = w.word and x.near_n = b.top) end as form
+    from words w left join best b on b.word = w.word
+),
+chain as (
+    select word, word as at from forms
+    union all select c.word, f.form from chain c join forms f on f.word = c.at where f.form is not null
+)
+select f.word, f.form, c.at as root, f.n, f.n_near, f.form_n
+from forms f join chain c on c.word = f.word join forms e on e.word = c.at and e.form is null
+"""
+
+OP12_SQL = f"""
+with {CRC_SQL},
+turns as (
+    select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i,
+           coalesce(role, '') as role, coalesce(text, '') as text
+    from conversations where conv_id is not null
+),
+heads as (select c, {crc_sql("list_transform(string_split(c::varchar, ''), lambda ch: ord(ch)::ubigint)")} % 6 as h
+          from (select distinct c from turns), create_table),
+rebuilt as (
+    select heads.c, t.i, t.role, t.text from heads join turns t on t.c = heads.c - heads.c % 100 and t.i < heads.h
+    union all select heads.c, t.i, t.role, t.text from heads join turns t on t.c = heads.c and t.i >= heads.h
+),
+placed as (
+    select c, row_number() over (partition by c order by i) as depth, length(text) as chars,
+           sha256(length(role)::varchar || ':' || role || text) as said
+    from rebuilt
+),
+paths as (
+    select c, depth, chars, sha256(string_agg(said, ',') over (partition by c order by depth rows unbounded preceding)) as k from placed
+    union all select c, 0, 0, '' from heads
+),
+linked as (
+    select *, lag(k) over (partition by c order by depth) as parent, depth = max(depth) over (partition by c) as last from paths
+),
+nodes as (
+    select depth, k, any_value(parent) as parent, any_value(chars) as chars, min(c) as conv_id, count(*) as n_convs,
+           sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (last), '')) as ends_sha256
+    from linked group by depth, k
+),
+family as (
+    select n.*, (select count(*) from nodes x where x.depth = n.depth + 1 and x.parent = n.k) as n_children from nodes n
+),
+subtrees as (
+    select p.depth, p.k, sum((f.n_convs - 1) * f.chars)::bigint as saved_tokens, count(*) filter (f.n_children = 0) as n_leaves
+    from family f join paths p on p.c = f.conv_id and p.depth <= f.depth group by all
+)
+select f.conv_id, f.depth::bigint as depth, up.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+from family f join subtrees s on s.depth = f.depth and s.k = f.k
+left join nodes up on up.depth = f.depth - 1 and up.k = f.parent
+"""
+
 OP6_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
@@ -112,7 +225,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_classifier": op10_classifier,
+    "op11_spelling": op11_spelling,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
+    "op11_spelling": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
