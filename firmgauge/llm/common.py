@@ -64,6 +64,21 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(kind).to_pylist()]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """``values`` as compressed bytes, byte by byte of the numbers, as high bytes are mostly equal."""
+    raw = np.frombuffer(values.tobytes(), np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    """The numbers that ``packed`` packed."""
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    raw = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.frombuffer(raw.reshape(width, n).T.tobytes(), kind)
+
+
 def pick(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces ``flat[s : s + n]`` one after the other."""
     total = int(lengths.sum())
