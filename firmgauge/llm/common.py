@@ -66,7 +66,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def packed(values: np.ndarray) -> bytes:
     """``values`` as compressed bytes, byte by byte of the numbers, as high bytes are mostly equal."""
-    raw = np.frombuffer(values.tobytes(), np.uint8).reshape(len(values), -1).T.tobytes()
+    raw = np.frombuffer(values.tobytes(), np.uint8).reshape(len(values), values.itemsize).T.tobytes()
     return len(values).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
