@@ -1,13 +1,19 @@
-"""Exact quantiles, ranks and top-k thresholds without gathering a group in one task."""
+"""Exact quantiles, ranks and top-k thresholds without gathering a group in one task.
+
+Quantiles and thresholds are selected by counted digits: doubles become whole numbers of the same order,
+whose leading bits are counted per group. The counts tell in which bin each wanted rank lies; the next
+bits are counted in those bins only, and the last bits give the values. All groups and ranks are narrowed
+at once, no rows are sorted, and a window sees at most the bins of one level.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmgauge.operators.scale import materialise, small_result
+from firmgauge.operators.scale import BROADCAST_ROWS, materialise, sized_broadcast
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -38,30 +44,87 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     )
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = (),
-    counts: DataFrame | None = None,
+#: Bits counted at each level of a selection; they add up to 64.
+LEVELS = (22, 21, 21)
+
+
+def ordered_bits(value: Column) -> Column:
+    """A whole number for each double, in the order of the doubles: exponent first, then mantissa.
+
+    Both zeros are 0. NaN comes last, as in sorting.
+    """
+    x = F.abs(value)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    rough = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(x)).cast("double")))
+    # The logarithm may be off by one next to powers of two; scaling by powers of two is exact.
+    scaled = x * power(-rough)
+    exponent = F.when(scaled >= 2, rough + 1).when((scaled < 1) & (rough > -1022), rough - 1).otherwise(rough)
+    bits = ((exponent + 1022).cast("long") * (1 << 52)) + (x * power(-exponent) * float(1 << 52)).cast("long")
+    top = F.lit(2047 << 52)
+    finite = F.when(x == 0, F.lit(0).cast("long")).when(x == float("inf"), top).otherwise(bits)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(F.when(value < 0, -finite).otherwise(finite))
+
+
+def values_at_ranks(
+    df: DataFrame, value: str, by: Sequence[str], ranks: Callable[[Column], dict[str, Column]], max_groups: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group (one row for no group); ``{name: probability}``."""
+    """Per group its number of values ``size`` and the values at wanted ranks, one column each.
+
+    ``ranks`` maps the size to ``{name: rank}``, counted from 0 in ascending order; a rank outside the group
+    gives null. Null values don't count, and a group without values is left out. The group and value
+    columns are stored once. Bins of up to ``max_groups`` groups are broadcast.
+    """
     by = list(by)
-    counts = cumulative_counts(df, value, by) if counts is None else counts
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
-    if by:
-        sized = counts.join(small_result(sizes), by)
-    else:
-        sized = counts.withColumn("_size", sizes.select("_size").scalar())
-
-    def pick(position: Column) -> Column:
-        hit = (F.col("below") <= position) & (position < F.col("below") + F.col("n"))
-        return F.max(F.when(hit, F.col(value)))
-
-    parts, results = [F.max("_size").alias("_size")], []
-    for name, p in probabilities.items():
-        place = (F.col("_size") - 1) * F.lit(float(p))
-        parts += [pick(F.floor(place)).alias(f"_{name}_lo"), pick(F.ceil(place)).alias(f"_{name}_hi")]
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    bits = ordered_bits(F.col(value).cast("double"))
+    rest, digits = 64, []
+    for i, n in enumerate(LEVELS):
+        rest -= n
+        digit = F.shiftright(bits, rest)
+        digits.append((digit if i == 0 else digit.bitwiseAND((1 << n) - 1)).alias(f"d{i}"))
+    rows = materialise(df.filter(F.col(value).isNotNull()).select(key.alias("key"), F.col(value).alias("value"), *digits))
+    few = rows.select("key").distinct().count() <= max_groups
+    wanted = None
+    for i in range(len(LEVELS)):
+        path = ["key", *(f"d{j}" for j in range(i))]
+        part = rows
+        if wanted is not None:
+            bins = wanted.select(*path).distinct()
+            part = rows.join(F.broadcast(bins) if few else bins, path, "left_semi")
+        counts = part.groupBy(*path, f"d{i}").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
+        order = Window.partitionBy(*path)
+        upto = F.sum("n").over(order.orderBy(f"d{i}").rowsBetween(Window.unboundedPreceding, 0))
+        ranged = counts.withColumn("end", upto)
+        if wanted is None:
+            sized = ranged.withColumn("size", F.sum("n").over(order))
+            asked = F.array(*(F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks(F.col("size")).items()))
+            found = sized.withColumn("w", F.explode(asked)).select(*counts.columns, "end", "size", "w.name", "w.rank")
+            kept = (F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end"))
+            # The first bin of a group also keeps its size where no wanted rank is in the group.
+            sizes = found.groupBy("key").agg(F.max("size").alias("size"))
+        else:
+            found = ranged.join(wanted.drop("value"), path)
+            kept = (F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end"))
+        wanted = found.filter(kept).select(*path, f"d{i}", "value", "name", (F.col("rank") - (F.col("end") - F.col("n"))).alias("rank"))
+    names = list(ranks(F.lit(1)))
+    picked = wanted.groupBy("key").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
+    out = sizes.join(F.broadcast(picked) if few else picked, "key", "left")
+    return out.select(*(F.col(f"key.{c}").alias(c) for c in by), "size", *names)
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles per group (one row for no group); ``{name: probability}``."""
+    place = {name: lambda size, p=float(p): (size - 1) * F.lit(p) for name, p in probabilities.items()}
+
+    def ranks(size: Column) -> dict[str, Column]:
+        return {f"_{name}_{end}": cut(at(size)) for name, at in place.items() for end, cut in (("lo", F.floor), ("hi", F.ceil))}
+
+    found = values_at_ranks(df, value, by, ranks)
+    size, results = F.col("size"), []
+    for name, at in place.items():
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        results.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return sized.groupBy(*by).agg(*parts).select(*by, *results)
+        results.append((low + (high - low) * (at(size) - F.floor(at(size)))).alias(name))
+    return found.select(*by, *results)
 
 
 def average_ranks(counts: DataFrame) -> Column:
@@ -75,49 +138,22 @@ def _threshold(k: int, size: Column, at_k: Column, after_k: Column) -> Column:
     return F.when(size == k, at_k).when(size > k, inner)
 
 
-def group_thresholds(df: DataFrame, value: str, by: Sequence[str], k: int = 25) -> DataFrame:
-    """Per group the quantile 1 - k/n of the value, from its k+1 largest rows only."""
-    by = list(by)
-    order = Window.partitionBy(*by).orderBy(F.desc(value))
-    top = df.select(*by, value).filter(F.col(value).isNotNull()).withColumn(
-        "_r", F.row_number().over(order)
-    ).filter(F.col("_r") <= k + 1)
-    edge = top.groupBy(*by).agg(
-        F.max(F.when(F.col("_r") == k, F.col(value))).alias("_k"),
-        F.max(F.when(F.col("_r") == k + 1, F.col(value))).alias("_k1"),
-    )
-    sizes = df.groupBy(*by).agg(F.count(value).alias("_size"))
-    return sizes.join(edge, by, "left").select(
-        *by, F.col("_size").alias("group_size"),
-        _threshold(k, F.col("_size"), F.col("_k"), F.col("_k1")).alias("threshold"),
-    )
+def group_thresholds(df: DataFrame, value: str, by: Sequence[str] = (), k: int = 25) -> DataFrame:
+    """Per group its size and the quantile 1 - k/n of the value, from its k-th and (k+1)-th largest."""
+    found = values_at_ranks(df, value, by, lambda size: {"_k": size - k, "_k1": size - k - 1})
+    return found.select(*by, F.col("size").alias("group_size"), _threshold(k, F.col("size"), F.col("_k"), F.col("_k1")).alias("threshold"))
 
 
 def flag_top_in_group(
     df: DataFrame, value: str = "outlier_score", by: Sequence[str] = ("sector",), k: int = 25
 ) -> DataFrame:
-    """Flag rows above their group's threshold; a group below ``k`` rows has none flagged.
-
-    The rows are read three times (sizes, edges, flags), so the input is computed once.
-    """
-    df = materialise(df)
-    table = small_result(group_thresholds(df, value, by, k))
+    """Flag rows above their group's threshold; a group below ``k`` rows has none flagged."""
+    table = group_thresholds(df, value, by, k)
     above = F.col(value) > F.col("threshold")
-    return df.join(table, list(by)).withColumn("outlier", F.when(above, 1).otherwise(0))
+    return df.join(sized_broadcast(materialise(table)), list(by)).withColumn("outlier", F.when(above, 1).otherwise(0))
 
 
 def top_overall(df: DataFrame, value: str = "outlier_score", k: int = 180) -> DataFrame:
-    """Rows above the quantile 1 - k/n of the whole table; none for n < k.
-
-    The edge comes from a top-(k+1) limit, so nothing is sorted in full. The input is computed
-    once, as it is read for the size, the edge and the result.
-    """
-    present = materialise(df.filter(F.col(value).isNotNull()))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(value)))
-    top = present.select(value).orderBy(F.desc(value)).limit(k + 1).withColumn("_r", rank)
-    edge = top.agg(
-        F.max(F.when(F.col("_r") == k, F.col(value))).alias("_k"),
-        F.max(F.when(F.col("_r") == k + 1, F.col(value))).alias("_k1"),
-        present.agg(F.count(value)).scalar().alias("_size"),
-    ).select(_threshold(k, F.col("_size"), F.col("_k"), F.col("_k1")))
-    return present.filter(F.col(value) > edge.scalar())
+    """Rows above the quantile 1 - k/n of the whole table; none for n < k."""
+    edge = group_thresholds(df, value, (), k).select("threshold")
+    return df.filter(F.col(value) > edge.scalar())

@@ -2,8 +2,8 @@
 
 ``pca``: features are standardised per group and projected off the weakest principal direction
 (the best linear reconstruction with one unit less than features). The fit is one aggregation of
-moments; the direction is a closed form. ``tanh``: a one-layer autoencoder per group, trained on
-bounded parts of the group and averaged by part size.
+moments; the direction is a closed form. ``tanh``: a one-layer autoencoder per group, fitted by gradient
+descent whose steps are aggregations over all training rows.
 """
 
 from __future__ import annotations
@@ -13,18 +13,21 @@ from collections.abc import Callable, Sequence
 from fractions import Fraction
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmgauge.functions.columns import minmax_scale, seeded_hash
-from firmgauge.operators.scale import materialise, sized_broadcast
+from firmgauge.operators.scale import BROADCAST_ROWS, materialise, sized_broadcast
 
 SEED = 1717
 TRAIN_SHARE = 0.6
 EPOCHS = 30
-PART_ROWS = 50_000
+RATE, MOMENTUM, STEPS_AT_ONCE = 0.05, 0.9, 5
+#: Start weights of the network by (features, units), in the order of ``_units``: nearly linear, as tanh is near 0.
+START = {
+    (2, 1): (0.15, 0.15, 0.02, 3.3, 3.3, 0.0, 0.0),
+    (3, 2): (0.15, 0.15, 0.15, 0.15, 0.15, -0.3, 0.02, -0.02, 2.2, 2.2, 2.2, 1.1, 1.1, -2.2, 0.0, 0.0, 0.0),
+}
 
 
 # --- preparation ----------------------------------------------------------------------------
@@ -141,74 +144,64 @@ def fit_pca(moments: DataFrame, features: Sequence[str], group: str = "sector")
     return table.select(group, *(f"{kind}_{f}" for kind in ("mean", "sd", "v") for f in features))
 
 
-def _part_trainer(
-    features: list[str], group: str, ids: str, hidden: int, epochs: int, seed: int
-) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Task function: weights of tanh(z A + a) B + b for the rows of one part.
+def _units(features: Sequence[str], hidden: int, z: dict[str, Column], weight: Callable[[int], Column]) -> dict[str, Column]:
+    """Hidden units ``_h_*`` of the network; ``weight(k)`` is its k-th weight.
 
-    ``epochs`` passes of Adam, each of at most about 500 small batches, from rows in id order.
-    Self-contained, so that workers need no copy of this package.
+    Weights lie in the order: features x units into the units, one per unit, units x features out of them,
+    one per feature.
     """
+    d = len(features)
+    return {f"_h_{j}": F.tanh(sum((z[f] * weight(i * hidden + j) for i, f in enumerate(features)), weight(d * hidden + j)))
+            for j in range(hidden)}
+
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        z = rows.sort_values(ids)[features].to_numpy(float)
-        d = z.shape[1]
-        shapes = [(d, hidden), (hidden,), (hidden, d), (d,)]
-        sizes = [int(np.prod(s)) for s in shapes]
-        cuts = np.cumsum(sizes)[:-1]
-        batch = max(8, len(z) // 500)
-        rng = np.random.default_rng(seed)
-        w = rng.normal(0, 0.5, sum(sizes))
-        m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(z))
-            for start in range(0, len(z), batch):
-                x = z[order[start:start + batch]]
-                A, a, B, b = (part.reshape(s) for part, s in zip(np.split(w, cuts), shapes))
-                h = np.tanh(x @ A + a)
-                error = 2 * (h @ B + b - x) / x.size
-                back = (error @ B.T) * (1 - h * h)
-                grad = np.concatenate(
-                    [(x.T @ back).ravel(), back.sum(0), (h.T @ error).ravel(), error.sum(0)]
-                )
-                step += 1
-                m = 0.9 * m + 0.1 * grad
-                v = 0.999 * v + 0.001 * grad * grad
-                w = w - 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        return pd.DataFrame({group: [rows[group].iloc[0]], "n": [len(z)], "w": [w.tolist()]})
-
-    return train
+def _rebuilt(features: Sequence[str], hidden: int, weight: Callable[[int], Column]) -> dict[str, Column]:
+    """Features as the network gives them back, from its hidden units."""
+    d = len(features)
+    out, last = d * hidden + hidden, 2 * d * hidden + hidden
+    return {f: sum((F.col(f"_h_{j}") * weight(out + j * d + i) for j in range(hidden)), weight(last + i))
+            for i, f in enumerate(features)}
 
 
 def fit_tanh(
-    train: DataFrame, moments: DataFrame, features: Sequence[str], hidden: int, group: str = "sector",
-    ids: str = "entity_id", epochs: int = EPOCHS, seed: int = SEED, part_rows: int = PART_ROWS,
+    train: DataFrame, moments: DataFrame, features: Sequence[str], hidden: int, group: str = "sector", epochs: int = EPOCHS,
 ) -> DataFrame:
     """Per group: mean and deviation of each feature and the weights ``w`` of the network.
 
-    A group is cut by a hash of the row into parts of about ``part_rows`` rows, so a hot group is
-    trained by many tasks. Every part starts from the same weights; the group's weights are the
-    mean over its parts, weighted by rows. All training rows are used.
+    Gradient descent with momentum on the mean squared error over all training rows of a group, from the
+    weights ``START``. A step is one aggregation by group of the gradient's sums, with partial results, so
+    groups of any size have the same model, however their rows lie. The weights are one row per
+    group, taken through each step by the aggregation itself; the training rows are stored once, with
+    the group and the standardised features only.
     """
     features = list(features)
-    stats = moments.select(
-        group, F.ceil(F.col("n_train") / part_rows).alias("_parts"),
-        *(f"{kind}_{f}" for kind in ("mean", "sd") for f in features),
-    )
-    scaled = train.select(group, ids, *features).join(sized_broadcast(stats), group).select(
-        group, ids, F.pmod(F.xxhash64(ids, *features), F.col("_parts")).alias("_part"),
-        *(_standard(f).alias(f) for f in features),
-    )
-    kind = train.schema[group].dataType.simpleString()
-    parts = scaled.groupBy(group, "_part").applyInPandas(
-        _part_trainer(features, group, ids, hidden, epochs, seed),
-        f"`{group}` {kind}, n long, w array<double>",
-    )
-    count = 2 * len(features) * hidden + hidden + len(features)
-    merged = parts.groupBy(group).agg(F.array(*(
-        F.sum(F.col("w")[i] * F.col("n")) / F.sum("n") for i in range(count)
-    )).alias("w"))
-    return materialise(merged.join(stats.drop("_parts"), group))
+    d, start = len(features), START[len(features), hidden]
+    n = len(start)
+    w, v = [f"_w{k}" for k in range(n)], [f"_v{k}" for k in range(n)]
+    stats = moments.select(group, *(f"{kind}_{f}" for kind in ("mean", "sd") for f in features))
+    small = stats.count() <= BROADCAST_ROWS
+    side = F.broadcast if small else (lambda df: df)
+    rows = materialise(train.select(group, *features).join(side(stats), group).select(
+        group, *(_standard(f).alias(f) for f in features)))
+    state = moments.select(group, *(F.lit(float(x)).alias(c) for x, c in zip(start, w)), *(F.lit(0.0).alias(c) for c in v))
+    z = {f: F.col(f) for f in features}
+    for step in range(epochs):
+        at = rows.join(side(state), group).withColumns(_units(features, hidden, z, lambda k: F.col(w[k])))
+        off = {f"_e_{f}": r - z[f] for f, r in _rebuilt(features, hidden, lambda k: F.col(w[k])).items()}
+        e = [F.col(c) for c in off]
+        h = [F.col(f"_h_{j}") for j in range(hidden)]
+        out = d * hidden + hidden
+        at = at.withColumns(off).withColumns({
+            f"_b_{j}": sum((e[i] * F.col(w[out + j * d + i]) for i in range(d)), F.lit(0.0)) * (1 - h[j] * h[j]) for j in range(hidden)})
+        back = [F.col(f"_b_{j}") for j in range(hidden)]
+        terms = [z[f] * b for f in features for b in back] + back + [u * x for u in h for x in e] + e
+        slope = [F.sum(t) * 2 / (F.count(F.lit(1)) * d) for t in terms]
+        speed = [(MOMENTUM * F.first(c) - RATE * g).alias(c) for c, g in zip(v, slope)]
+        state = at.groupBy(group).agg(*speed, *(F.first(c).alias(c) for c in w)).select(
+            group, *((F.col(a) + F.col(b)).alias(a) for a, b in zip(w, v)), *v)
+        if step % STEPS_AT_ONCE == STEPS_AT_ONCE - 1:  # long plans cost more than the steps
+            state = materialise(state)
+    return materialise(stats.join(state.select(group, F.array(*w).alias("w")), group))
 
 
 # --- score ----------------------------------------------------------------------------------
@@ -244,17 +237,9 @@ def recon_score(
     if "w" in helper:
         if hidden is None:
             raise ValueError("hidden is needed for a tanh model")
-        w = F.col("w")
-        first, second, third = d * hidden, d * hidden + hidden, 2 * d * hidden + hidden
-        units = {
-            f"_h_{j}": F.tanh(sum((z[i] * w[i * hidden + j] for i in range(d)), w[first + j]))
-            for j in range(hidden)
-        }
+        units = _units(features, hidden, dict(zip(features, z)), lambda k: F.col("w")[k])
         joined = joined.withColumns(units)
-        rebuilt = [
-            sum((F.col(f"_h_{j}") * w[second + j * d + i] for j in range(hidden)), w[third + i])
-            for i in range(d)
-        ]
+        rebuilt = list(_rebuilt(features, hidden, lambda k: F.col("w")[k]).values())
         error = sum(((r - x) * (r - x) for r, x in zip(rebuilt, z)), F.lit(0.0)) / d
         helper += list(units)
     else:

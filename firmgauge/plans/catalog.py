@@ -538,6 +538,12 @@ def outlier_recon_tanh(t: Tables) -> DataFrame:
     return _recon_columns(scored, "revenue_norm", "employees_norm")
 
 
+@query
+def outlier_recon_tanh_3(t: Tables) -> DataFrame:
+    scored = reconstruction.recon_outliers(_now(t), with_income=True, method="tanh")
+    return _recon_columns(scored, "revenue_norm", "employees_norm", "income_norm")
+
+
 @query
 def ae_error_by_split(t: Tables) -> DataFrame:
     return rounded(reconstruction.error_by_split(_scored(t, False)))

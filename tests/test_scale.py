@@ -129,7 +129,6 @@ def test_distinct_counts_are_split_by_entity_first(spark):
 
 def test_top_k_windows_are_cut_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("sector"), F.rand(1).alias("outlier_score"))
-    assert "WindowGroupLimit" in plan(ranking.group_thresholds(df, "outlier_score", ["sector"], 5))
     assert "WindowGroupLimit" in plan(snapshots.extremes(df.withColumn("n", F.col("sector")), "outlier_score", "n", 3, ["sector"]))
 
 

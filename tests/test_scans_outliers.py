@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmgauge.operators import outliers, ranking, reconstruction, scans
+from firmgauge.operators.scale import BROADCAST_ROWS
 
 SCAN = "scan_month date, ip long, nvt_oid string, severity double, cvss double, port int"
 MAP = "run_date date, entity_id long, ip_dec long, ip_label string"
@@ -116,7 +117,7 @@ def test_group_threshold_is_the_interpolated_quantile(spark, n):
 
 
 def test_exact_quantiles_and_ranks(spark):
-    rng = random.Random(5)
+    rng = random.Random(1)
     data = [(rng.choice("ab"), float(rng.choice([1, 1, 1, 2, 5, rng.randint(0, 99)]))) for _ in range(500)]
     df = spark.createDataFrame(data + [("a", None)], "g string, v double").repartition(7)
     counts = {(r["g"], r["v"]): (r["n"], r["below"]) for r in ranking.cumulative_counts(df, "v", ["g"]).collect()}
@@ -129,6 +130,50 @@ def test_exact_quantiles_and_ranks(spark):
         assert got[g]["q9"] == pytest.approx(np.quantile(values, 0.9))
 
 
+HARD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308,
+        math.inf, -math.inf, 1.0, math.nextafter(1.0, 0), math.nextafter(1.0, 2), 2.0**52, 2.0**53 - 1, -1.5, 3.0, math.nextafter(8.0, 0), 8.0, 1e-17]
+
+
+def test_bits_keep_the_order_of_doubles(spark):
+    rng = random.Random(8)
+    values = HARD + [rng.choice([-1, 1]) * math.ldexp(rng.random(), rng.randint(-1070, 1020)) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = sorted((r["v"], r["b"]) for r in df.select("v", ranking.ordered_bits(F.col("v")).alias("b")).collect())
+    for (x, a), (y, b) in zip(got, got[1:]):
+        assert (a < b) if x < y else (a == b)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_values_at_ranks_of_hard_groups(spark, few):
+    """All kinds of doubles, ties, one value, a hot group, a null group; both ways to join."""
+    rng = random.Random(4)
+    groups = {"hard": HARD, "ties": [1.25] * 700 + [1.25 + 2**-52] * 300, "one": [7.0], None: [3.0, 1.0],
+              "hot": [rng.lognormvariate(0, 3) for _ in range(20000)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double").repartition(9)
+    at = lambda size: {"low": F.lit(0), "mid": F.floor(size / 2), "k": size - 5000, "k1": size - 5001}
+    got = {r["g"]: r for r in ranking.values_at_ranks(df, "v", ["g"], at, BROADCAST_ROWS if few else 0).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        place = lambda i: vs[i] if 0 <= i < len(vs) else None
+        want = (len(vs), vs[0], vs[len(vs) // 2], place(len(vs) - 5000), place(len(vs) - 5001))
+        assert (got[g]["size"], got[g]["low"], got[g]["mid"], got[g]["k"], got[g]["k1"]) == want
+
+
+def test_thresholds_of_many_wanted_rows(spark):
+    """k = 5000 in a group of half of all rows: no range exchange, no sort of the rows of a group."""
+    rng = random.Random(6)
+    data = [(i, "big" if i % 2 else f"s{i % 7}", rng.random()) for i in range(16000)]
+    df = spark.createDataFrame(data, "entity_id long, sector string, outlier_score double")
+    flagged = ranking.flag_top_in_group(df, k=5000)
+    values = [v for _, s, v in data if s == "big"]
+    got = [r for r in flagged.collect() if r["sector"] == "big"]
+    assert got[0]["threshold"] == pytest.approx(float(np.quantile(values, 1 - 5000 / len(values))))
+    assert sum(r["outlier"] for r in got) == sum(v > got[0]["threshold"] for v in values)
+    text = ranking.group_thresholds(df, "outlier_score", ["sector"], 5000)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in text.lower()
+
+
 def test_split_is_stable_and_near_its_share(spark, rows):
     df = spark.range(5000).withColumnRenamed("id", "entity_id")
     one, two = reconstruction.hash_split(df), reconstruction.hash_split(df.repartition(13))
@@ -169,20 +214,38 @@ def test_constant_feature_does_not_fail(spark):
     assert len(got) == 60 and all(math.isfinite(r["outlier_score"]) for r in got)
 
 
-def test_network_splits_a_hot_group_and_uses_all_rows(spark):
+def gradient_descent(z, hidden):
+    """The network by the same steps in numpy, for one group."""
+    d = z.shape[1]
+    w = np.array(reconstruction.START[d, hidden])
+    shapes = [(d, hidden), (hidden,), (hidden, d), (d,)]
+    cuts, speed = np.cumsum([math.prod(s) for s in shapes])[:-1], np.zeros(len(w))
+    for _ in range(reconstruction.EPOCHS):
+        A, a, B, b = (p.reshape(s) for p, s in zip(np.split(w, cuts), shapes))
+        h = np.tanh(z @ A + a)
+        e = h @ B + b - z
+        back = (e @ B.T) * (1 - h * h)
+        slope = np.concatenate([(z.T @ back).ravel(), back.sum(0), (h.T @ e).ravel(), e.sum(0)]) * 2 / z.size
+        speed = reconstruction.MOMENTUM * speed - reconstruction.RATE * slope
+        w = w + speed
+    return w
+
+
+@pytest.mark.parametrize("income", [False, True])
+def test_network_is_one_model_at_any_partitioning(spark, income):
+    """A hot group and small ones against numpy; rows in 2, 8 and 64 partitions."""
     df = companies(spark, 600, hot=500)
-    prepared = reconstruction.hash_split(reconstruction.log_features(df))
-    features = ["revenue_norm", "employees_norm"]
+    features = ["revenue_norm", "employees_norm"] + (["income_norm"] if income else [])
+    prepared = reconstruction.hash_split(reconstruction.log_features(df, income))
     moments = reconstruction.group_moments(prepared, features, train=F.col("split") == "train")
     train = prepared.filter("split = 'train'")
-    whole = reconstruction.fit_tanh(train, moments, features, 1)
-    parts = reconstruction.fit_tanh(train.repartition(9), moments, features, 1, part_rows=100)
-    assert whole.count() == parts.count() == 3
-    a = reconstruction.recon_score(prepared, whole, features, hidden=1).agg(F.avg("outlier_score")).first()[0]
-    b = reconstruction.recon_score(prepared, parts, features, hidden=1).agg(F.avg("outlier_score")).first()[0]
-    pca = reconstruction.recon_score(prepared, reconstruction.fit_pca(moments, features), features)
-    c = pca.agg(F.avg("outlier_score")).first()[0]
-    assert a < 3 * c + 0.1 and b < 3 * c + 0.1
+    for partitions in (2, 8, 64):
+        model = reconstruction.fit_tanh(train.repartition(partitions), moments, features, len(features) - 1).collect()
+        assert len(model) == 3
+        for row in model:
+            x = np.array([[r[f] for f in features] for r in train.filter(F.col("sector") == row["sector"]).collect()])
+            z = (x - x.mean(0)) / x.std(0, ddof=1)
+            assert np.allclose(row["w"], gradient_descent(z, len(features) - 1), atol=1e-9)
 
 
 def test_network_ranks_like_pca(spark):
