@@ -78,58 +78,58 @@ def shifted_ip_churn(
 ) -> DataFrame:
     """New and disappeared IPs of the entities of a provider, through an IP map of earlier periods.
 
-    The map is moved ``shift_months`` forward and joined on the entity alone. Entities are made
-    distinct per provider before the join, so each map row meets each provider once; repeated map
-    rows are removed together with the join's own repeats, in the count.
+    The map is moved ``shift_months`` forward and joined on the entity alone. Entities with the same
+    providers are one class, so the join has one row per map row, whatever the number of an entity's providers;
+    map rows are then counted by (class, IP), and only these counts are multiplied by the
+    providers of a class. A provider's count of an IP adds up over its classes, as an entity has one class.
     """
     users = _of_outliers(in_periods(edges, start=previous), outliers)
-    users = users.select("agg_id", "entity_id").distinct()
-    moved = ip_map.select(
-        F.add_months("run_date", shift_months).alias("run_date"), "entity_id", "ip_dec"
-    ).filter(F.col("run_date").isin(previous, latest))
-    counts = _period_counts(hot_key_join(moved, users, ["entity_id"]), previous, latest)
+    lists = users.groupBy("entity_id").agg(F.sort_array(F.collect_set("agg_id")).alias("providers"))
+    classes = lists.select("entity_id", "providers", F.xxhash64("providers").alias("class"))
+    moved = ip_map.select(F.add_months("run_date", shift_months).alias("run_date"), "entity_id", "ip_dec").filter(
+        F.col("run_date").isin(previous, latest))
+    # A map row may be repeated: one row per IP and entity, with a flag for each period.
+    seen = lambda day: F.max(flag(F.col("run_date") == day))
+    once = moved.groupBy("entity_id", "ip_dec").agg(seen(previous).alias("before"), seen(latest).alias("after"))
+    counted = once.join(classes.select("entity_id", "class", "providers"), "entity_id").groupBy("class", "providers", "ip_dec").agg(
+        F.sum("before").alias("before"), F.sum("after").alias("after"))
+    counts = counted.select(F.explode("providers").alias("agg_id"), "ip_dec", "before", "after").groupBy("agg_id", "ip_dec").agg(
+        F.sum("before").alias("n_previous"), F.sum("after").alias("n_latest"))
     new, gone = _new(min_entities), _gone(min_entities)
     kind = F.when(new, "new IPs").otherwise("disappeared IPs").alias("type")
     return _listed(counts, new | gone, kind)
 
 
 # --- same parent ----------------------------------------------------------------------------
-def _ip_locations(
-    edges: DataFrame, provider_dim: DataFrame, parent_dim: DataFrame, previous: dt.date, latest: dt.date,
+def folded_placements(
+    edges: DataFrame, provider_dim: DataFrame, parent_dim: DataFrame, outliers: DataFrame, previous: dt.date, latest: dt.date,
     location: list[str],
 ) -> DataFrame:
-    """Entities per IP and provider in both periods, with the parent and the provider's location.
+    """(ip_dec, places): per IP all providers it is on in either period, for IPs on an outlier.
 
-    Counted before any join on the IP: an IP with very many entities becomes one row per provider.
+    Entities are counted per IP and provider first, so an IP with very many entities is one row per
+    provider before it is gathered, and an array is never longer than the list of providers.
     """
-    located = with_parent(
-        _period_counts(edges, previous, latest), provider_dim, parent_dim, provider_columns=location
-    )
-    return located
-
+    marked = sized_broadcast(outliers.select("agg_id").distinct()).withColumn("outlier", F.lit(True))
+    located = with_parent(_period_counts(edges, previous, latest), provider_dim, parent_dim, provider_columns=location)
+    place = F.struct("agg_id", "parent_agg_id", *location, "n_previous", "n_latest", F.col("outlier").isNotNull().alias("outlier"))
+    return located.join(marked, "agg_id", "left").groupBy("ip_dec").agg(F.collect_list(place).alias("places")).filter(
+        F.exists("places", lambda p: p["outlier"]))
 
-def _outlier_ips(located: DataFrame, outliers: DataFrame) -> DataFrame:
-    """(outlier, parent, ip) of the IPs seen on an outlier in either period."""
-    listed = sized_broadcast(outliers.select("agg_id").distinct())
-    return located.join(listed, "agg_id", "left_semi").select(
-        F.col("agg_id").alias("outlier_agg_id"), "parent_agg_id", "ip_dec"
-    )
 
+def _moves(folded: DataFrame) -> DataFrame:
+    """Previous place ``before`` and latest place ``after`` of each outlier's IPs under the outlier's parent.
 
-def _location_pairs(
-    located: DataFrame, outliers: DataFrame, location: list[str]
-) -> DataFrame:
-    """Previous and latest placements of each outlier's IPs under the outlier's parent, full joined."""
-    entries = located.join(_outlier_ips(located, outliers), ["parent_agg_id", "ip_dec"])
-    keys = ["outlier_agg_id", "ip_dec"]
-    before = entries.filter("n_previous > 0").select(
-        *keys, *(F.col(c).alias(f"{c}0") for c in [*location, "agg_id"]),
-        F.col("n_previous").alias("n_entities0"),
-    )
-    after = entries.filter("n_latest > 0").select(
-        *keys, *location, "agg_id", F.col("n_latest").alias("n_entities")
-    )
-    return before.join(after, keys, "full")
+    Every pair of places, or a place with null where the IP is in one period only; ``here`` is the
+    outlier's own place.
+    """
+    of = folded.withColumn("here", F.explode(F.filter("places", lambda p: p["outlier"])))
+    same = F.filter("places", lambda p: p["parent_agg_id"] == F.col("here")["parent_agg_id"])
+    before, after = F.filter(same, lambda p: p["n_previous"] > 0), F.filter(same, lambda p: p["n_latest"] > 0)
+    nowhere = F.array(F.lit(None).cast(folded.schema["places"].dataType.elementType))
+    filled = of.withColumns({"before": F.when(F.size(before) == 0, nowhere).otherwise(before),
+                             "after": F.when(F.size(after) == 0, nowhere).otherwise(after)})
+    return filled.withColumn("before", F.explode("before")).withColumn("after", F.explode("after"))
 
 
 def ip_churn_same_parent(
@@ -142,22 +142,19 @@ def ip_churn_same_parent(
     only if the IP was not on the new provider before.
     """
     location = [c for c in ("country_code", "stateprov", "region") if c in provider_dim.columns]
-    located = _ip_locations(edges, provider_dim, parent_dim, previous, latest, location)
-    pairs = _location_pairs(located, outliers, location)
+    moves = _moves(folded_placements(edges, provider_dim, parent_dim, outliers, previous, latest, location))
     kind = (
-        F.when(F.col("agg_id0").isNull(), "new IPs")
-        .when(F.col("agg_id").isNull(), "disappeared IPs")
-        .when(F.col("agg_id0") != F.col("agg_id"), "switch location")
+        F.when(F.col("before").isNull(), "new IPs")
+        .when(F.col("after").isNull(), "disappeared IPs")
+        .when(F.col("before.agg_id") != F.col("after.agg_id"), "switch location")
     )
-    changes = pairs.withColumn("type", kind).filter(F.col("type").isNotNull())
+    changes = moves.withColumn("type", kind).filter(F.col("type").isNotNull())
     if strict:
-        already = located.filter("n_previous > 0").select("ip_dec", "agg_id", F.lit(True).alias("_old"))
-        changes = changes.join(already, ["ip_dec", "agg_id"], "left").filter(
-            (F.col("type") != "switch location") | F.col("_old").isNull()
-        ).drop("_old")
+        changes = changes.filter((F.col("type") != "switch location") | (F.col("after.n_previous") == 0))
     return changes.select(
-        "outlier_agg_id", "type", "ip_dec", *(f"{c}0" for c in location), "agg_id0", "n_entities0",
-        *location, "agg_id", "n_entities",
+        F.col("here.agg_id").alias("outlier_agg_id"), "type", "ip_dec",
+        *(F.col(f"before.{c}").alias(f"{c}0") for c in [*location, "agg_id"]), F.col("before.n_previous").alias("n_entities0"),
+        *(F.col(f"after.{c}").alias(c) for c in [*location, "agg_id"]), F.col("after.n_latest").alias("n_entities"),
     )
 
 
@@ -167,20 +164,17 @@ def ip_parent_switch(
 ) -> DataFrame:
     """IPs of an outlier whose set of parents differs between the periods, with both sets.
 
-    The sets hold parents of one IP (already one row per IP and provider). They differ exactly
-    when some (IP, parent) pair is in one period only. A period without the IP gives null.
+    A period without the IP gives null.
     """
-    located = _ip_locations(edges, provider_dim, parent_dim, previous, latest, [])
-    ips = _outlier_ips(located, outliers).select("ip_dec").distinct()
+    folded = folded_placements(edges, provider_dim, parent_dim, outliers, previous, latest, [])
 
     def parents(count: str) -> Column:
-        found = F.sort_array(F.collect_set(F.when(F.col(count) > 0, F.col("parent_agg_id"))))
-        return F.when(F.size(found) > 0, found)
-
-    sets = located.join(ips, "ip_dec", "left_semi").groupBy("ip_dec").agg(
-        parents("n_previous").alias("parent_agg_id0"), parents("n_latest").alias("parent_agg_id")
-    ).filter(~F.equal_null("parent_agg_id0", "parent_agg_id"))
-    pairs = _location_pairs(located, outliers, [])
-    return pairs.join(sets, "ip_dec").select(
-        "outlier_agg_id", "ip_dec", "parent_agg_id0", "n_entities0", "parent_agg_id", "n_entities"
+        found = F.filter("places", lambda p: p[count] > 0)
+        ids = F.array_sort(F.array_distinct(F.transform(found, lambda p: p["parent_agg_id"])))
+        return F.when(F.size(ids) > 0, ids)
+
+    moved = folded.withColumns({"old": parents("n_previous"), "new": parents("n_latest")}).filter(~F.equal_null("old", "new"))
+    return _moves(moved).select(
+        F.col("here.agg_id").alias("outlier_agg_id"), "ip_dec", F.col("old").alias("parent_agg_id0"),
+        F.col("before.n_previous").alias("n_entities0"), F.col("new").alias("parent_agg_id"), F.col("after.n_latest").alias("n_entities"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from firmgauge.functions.columns import fixed, flag, share, with_bins
 from firmgauge.operators.ranking import average_ranks, cumulative_counts, exact_quantiles
-from firmgauge.operators.scale import hot_key_join, materialise, sized_broadcast, small_result
+from firmgauge.operators.scale import hot_key_join, materialise, small_result
 from firmgauge.schemas import BINS_DEFAULT, Bins
 
 
@@ -153,7 +153,7 @@ def boxplot(df: DataFrame, value: str, by: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     known = df.filter(F.col(value).isNotNull()).select(by, value)
-    return known.join(sized_broadcast(materialise(quartiles)), by).groupBy(by, "q1", "median", "q3").agg(
+    return known.join(quartiles, by).groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_beyond"),

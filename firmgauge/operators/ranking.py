@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmgauge.operators.scale import BROADCAST_ROWS, materialise, sized_broadcast
+from firmgauge.operators.scale import BROADCAST_ROWS, materialise
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +72,8 @@ def values_at_ranks(
 
     ``ranks`` maps the size to ``{name: rank}``, counted from 0 in ascending order; a rank outside the group
     gives null. Null values don't count, and a group without values is left out. The group and value
-    columns are stored once. Bins of up to ``max_groups`` groups are broadcast.
+    columns are stored once, their groups are counted, and the rest is lazy. Up to ``max_groups``
+    groups the bins are broadcast, and the result asks to be.
     """
     by = list(by)
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
@@ -108,8 +109,9 @@ def values_at_ranks(
         wanted = found.filter(kept).select(*path, f"d{i}", "value", "name", (F.col("rank") - (F.col("end") - F.col("n"))).alias("rank"))
     names = list(ranks(F.lit(1)))
     picked = wanted.groupBy("key").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
-    out = sizes.join(F.broadcast(picked) if few else picked, "key", "left")
-    return out.select(*(F.col(f"key.{c}").alias(c) for c in by), "size", *names)
+    joined = sizes.join(F.broadcast(picked) if few else picked, "key", "left")
+    out = joined.select(*(F.col(f"key.{c}").alias(c) for c in by), "size", *names)
+    return F.broadcast(out) if few else out
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -150,10 +152,26 @@ def flag_top_in_group(
     """Flag rows above their group's threshold; a group below ``k`` rows has none flagged."""
     table = group_thresholds(df, value, by, k)
     above = F.col(value) > F.col("threshold")
-    return df.join(sized_broadcast(materialise(table)), list(by)).withColumn("outlier", F.when(above, 1).otherwise(0))
+    return df.join(table, list(by)).withColumn("outlier", F.when(above, 1).otherwise(0))
 
 
 def top_overall(df: DataFrame, value: str = "outlier_score", k: int = 180) -> DataFrame:
     """Rows above the quantile 1 - k/n of the whole table; none for n < k."""
     edge = group_thresholds(df, value, (), k).select("threshold")
     return df.filter(F.col(value) > edge.scalar())
+
+
+def top_of_either(df: DataFrame, scores: dict[str, Column], k: int = 180) -> DataFrame:
+    """Rows among the top of any score, as ``top_overall`` of the rows its condition takes.
+
+    ``scores`` maps score columns to conditions. All thresholds come from one selection, in which each score
+    is a group.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("score"), F.when(taken, F.col(c)).alias("x")) for c, taken in scores.items()))
+    long = df.select(F.explode(pairs).alias("s")).select("s.score", "s.x")
+    edges = group_thresholds(long, "x", ["score"], k)
+    top = F.lit(False)
+    for c, taken in scores.items():
+        edge = edges.filter(F.col("score") == c).select("threshold").scalar()
+        top = top | F.coalesce(taken & (F.col(c) > edge), F.lit(False))
+    return df.filter(top)

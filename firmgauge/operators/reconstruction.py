@@ -221,16 +221,20 @@ def _finish(df: DataFrame, features: Sequence[str], error: Column, rebuilt: list
 
 def recon_score(
     df: DataFrame, model: DataFrame, features: Sequence[str], group: str = "sector",
-    hidden: int | None = None,
+    hidden: int | None = None, few: bool | None = None,
 ) -> DataFrame:
     """Mean squared reconstruction error of each row and its rebuilt features.
 
-    Row-wise and JVM-only. The model has one row per group and is broadcast if small. ``hidden`` is
-    needed for a tanh model.
+    Row-wise and JVM-only. The model has one row per group and is broadcast if small; ``few`` says so
+    where the groups have been counted. ``hidden`` is needed for a tanh model.
     """
     features = list(features)
     helper = [c for c in model.columns if c != group]
-    joined = df.join(sized_broadcast(model), group)
+    if few is None:
+        model = sized_broadcast(model)
+    elif few:
+        model = F.broadcast(model)
+    joined = df.join(model, group)
     z = [F.col(f"_z_{f}") for f in features]
     joined = joined.withColumns({f"_z_{f}": _standard(f) for f in features})
     d = len(features)
@@ -253,6 +257,23 @@ def recon_score(
     return scored.drop(*helper, *(f"_z_{f}" for f in features))
 
 
+def _to_unit(sizes: DataFrame, moments: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame, bool]:
+    """Features and their moments scaled to [0, 1] over the table, and whether the groups are few.
+
+    The limits and the number of groups are one row.
+    """
+    edges = moments.agg(F.count(F.lit(1)).alias("groups"), *(F.min(f"min_{f}").alias(f"low_{f}") for f in features),
+                        *(F.max(f"max_{f}").alias(f"high_{f}") for f in features)).first()
+    low = {f: F.lit(edges[f"low_{f}"]).cast("double") for f in features}
+    high = {f: F.lit(edges[f"high_{f}"]).cast("double") for f in features}
+    prepared = sizes.withColumns({f: minmax_scale(F.col(f), low[f], high[f]) for f in features})
+    scaled = moments.withColumns({
+        **{f"mean_{f}": minmax_scale(F.col(f"mean_{f}"), low[f], high[f]) for f in features},
+        **{f"sd_{f}": F.try_divide(F.col(f"sd_{f}"), high[f] - low[f]) for f in features},
+    })
+    return prepared, scaled, edges["groups"] <= BROADCAST_ROWS
+
+
 def recon_outliers(
     universe: DataFrame, with_income: bool = False, method: str = "pca", group: str = "sector"
 ) -> DataFrame:
@@ -265,34 +286,35 @@ def recon_outliers(
     hidden = len(features) - 1
     sizes = hash_split(log_sizes(universe, with_income))
     moments = materialise(group_moments(sizes, features, group, F.col("split") == "train"))
-    limits = moments.agg(
-        *(F.min(f"min_{f}").alias(f"low_{f}") for f in features),
-        *(F.max(f"max_{f}").alias(f"high_{f}") for f in features),
-    )
-
-    edges = limits.first()  # one row: two numbers per feature
-
-    def low(f: str) -> Column:
-        return F.lit(edges[f"low_{f}"]).cast("double")
-
-    def high(f: str) -> Column:
-        return F.lit(edges[f"high_{f}"]).cast("double")
-
-    def scaled(column: str, f: str) -> Column:
-        return minmax_scale(F.col(column), low(f), high(f))
-
-    prepared = sizes.withColumns({f: scaled(f, f) for f in features})
-    moments = moments.withColumns({
-        **{f"mean_{f}": scaled(f"mean_{f}", f) for f in features},
-        **{f"sd_{f}": F.try_divide(F.col(f"sd_{f}"), high(f) - low(f)) for f in features},
-    })
+    prepared, moments, few = _to_unit(sizes, moments, features)
     if method == "pca":
         model = fit_pca(moments, features, group)
     elif method == "tanh":
         model = fit_tanh(prepared.filter("split = 'train'"), moments, features, hidden, group)
     else:
         raise ValueError(f"unknown method: {method}")
-    return recon_score(prepared, model, features, group, hidden)
+    return recon_score(prepared, model, features, group, hidden, few)
+
+
+def nested_scores(universe: DataFrame, group: str = "sector") -> DataFrame:
+    """Companies with positive figures and their scores by two features and, with positive income, by three.
+
+    ``score_2`` and ``score_3`` are the scores of ``recon_outliers`` without and with income. The moments
+    of both models come from one aggregation, in which the features of the second are missing where there
+    is no positive income, and both scores from one pass over the companies.
+    """
+    two, three = ["revenue_norm", "employees_norm"], ["revenue_3", "employees_3", "income_3"]
+    earns = F.col("income") > 0
+    sizes = hash_split(log_sizes(universe)).withColumns({
+        "revenue_3": F.when(earns, F.col("revenue_norm")), "employees_3": F.when(earns, F.col("employees_norm")),
+        "income_3": F.when(earns, F.log10(F.col("income") + 1))})
+    moments = materialise(group_moments(sizes, two + three, group, F.col("split") == "train"))
+    prepared, moments, few = _to_unit(sizes, moments, two + three)
+    of_three = moments.withColumns({"rho_0_1": F.col("rho_2_3"), "rho_0_2": F.col("rho_2_4"), "rho_1_2": F.col("rho_3_4")})
+    first = recon_score(prepared, fit_pca(moments, two, group), two, group, few=few).withColumnRenamed("outlier_score", "score_2")
+    both = recon_score(first, fit_pca(of_three, three, group), three, group, few=few)
+    score_3 = F.when(earns, F.col("outlier_score")).alias("score_3")
+    return both.select(*universe.columns, "score_2", score_3)
 
 
 def error_by_split(scored: DataFrame, group: str = "sector") -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmgauge.functions import columns as C
 from firmgauge.operators import (
-    churn, filters, outliers, profiling, providers, ranking, reconstruction, scans, snapshots, stability,
+    churn, filters, outliers, presence, profiling, providers, ranking, reconstruction, scans, snapshots, stability,
 )
 from firmgauge.operators.scale import materialise
 from firmgauge.plans.views import Tables
@@ -347,6 +347,17 @@ def ip_churn_disappeared(t: Tables) -> DataFrame:
     return churn.disappeared_ips(t.event_edge, None, WEEKS[2], WEEKS[3], min_entities=2)
 
 
+@query
+def software_churn_new(t: Tables) -> DataFrame:
+    """New IPs of listed outliers only."""
+    return churn.new_ips(t.provider_edge, t.outlier_list, PREVIOUS, LATEST, min_entities=2)
+
+
+@query
+def software_churn_disappeared(t: Tables) -> DataFrame:
+    return churn.disappeared_ips(t.provider_edge, t.outlier_list, PREVIOUS, LATEST, min_entities=2)
+
+
 @query
 def ip_map_union(t: Tables) -> DataFrame:
     keys = ["run_date", "entity_id", "ip_dec"]
@@ -420,6 +431,43 @@ def stability_weighted_ref_scope(t: Tables) -> DataFrame:
     return stability.weighted_stability(_provider_stability(t, True), 9)
 
 
+# --- coverage and stability from stored bitmaps ---------------------------------------------
+def _presence(t: Tables) -> DataFrame:
+    return materialise(presence.presence(filters.in_periods(t.provider_edge, FIRST_OF_SEVEN, LATEST)))
+
+
+@query
+def presence_coverage(t: Tables) -> DataFrame:
+    return presence.coverage(_presence(t))
+
+
+@query
+def presence_coverage_parent(t: Tables) -> DataFrame:
+    of_parents = presence.presence_of_parents(_presence(t), t.provider_dim, t.parent_dim)
+    return presence.coverage(of_parents, ["parent_agg_id", "run_date"])
+
+
+@query
+def presence_coverage_window(t: Tables) -> DataFrame:
+    """Entities of the last two periods together."""
+    return presence.coverage(presence.presence_in_window(_presence(t), PREVIOUS, LATEST), ["agg_id"])
+
+
+@query
+def presence_stability(t: Tables) -> DataFrame:
+    # user ids are whole numbers, as the bits of a bitmap
+    weeks = materialise(presence.presence(t.event_edge))
+    return rounded(presence.stability_of_cohort(weeks, WEEKS))
+
+
+@query
+def presence_stability_parent(t: Tables) -> DataFrame:
+    bitmaps = _presence(t)
+    of_parents = presence.presence_of_parents(bitmaps, t.provider_dim, t.parent_dim)
+    table = presence.stability_of_cohort(of_parents, [PREVIOUS, LATEST], "parent_agg_id", cohort=bitmaps)
+    return rounded(stability.with_type(table, t.parent_dim, "parent_agg_id"))
+
+
 # --- scans ----------------------------------------------------------------------------------
 @query
 def scan_findings(t: Tables) -> DataFrame:
@@ -489,11 +537,13 @@ def _scored(t: Tables, with_income: bool) -> DataFrame:
     return reconstruction.recon_outliers(_now(t), with_income)
 
 
-def _top_scored(t: Tables, with_income: bool) -> DataFrame:
+def _big(with_income: bool) -> Column:
     big = (F.col("revenue") >= RULES.big_revenue) | (F.col("employees") >= RULES.big_employees)
-    if with_income:
-        big = big | (F.abs("income") >= RULES.big_income)
-    return ranking.top_overall(_scored(t, with_income).filter(big), k=RULES.top_overall)
+    return big | (F.abs("income") >= RULES.big_income) if with_income else big
+
+
+def _top_scored(t: Tables, with_income: bool) -> DataFrame:
+    return ranking.top_overall(_scored(t, with_income).filter(_big(with_income)), k=RULES.top_overall)
 
 
 def _recon_columns(df: DataFrame, *features: str) -> DataFrame:
@@ -562,9 +612,10 @@ def outlier_top_global(t: Tables) -> DataFrame:
 
 def _review(t: Tables) -> DataFrame:
     rows = _now(t).columns
+    scored = reconstruction.nested_scores(_now(t))
     found = [
         outliers.income_above_revenue(_both_periods(t), LATEST, RULES),
-        _top_scored(t, False).select(*rows), _top_scored(t, True).select(*rows),
+        ranking.top_of_either(scored, {"score_2": _big(False), "score_3": _big(True)}, RULES.top_overall).select(*rows),
     ]
     return outliers.review_list(found, t.reviewed)
 

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmgauge.operators import (
-    churn, filters, outliers, profiling, providers, ranking, reconstruction, scans, snapshots, stability,
+    churn, filters, outliers, presence, profiling, providers, ranking, reconstruction, scans, snapshots, stability,
 )
-from firmgauge.operators.scale import materialise
+from firmgauge.operators.scale import materialise, sized_broadcast
 from firmgauge.schemas import BINS_10, EXCLUDED_SECTORS, SHARED_IPS, Bins, OutlierRules
 from firmgauge.sources.writers import write_partitioned, write_report
 
@@ -127,6 +127,67 @@ def provider_review(
     return paths
 
 
+def store_extract(edges: DataFrame, run_date: dt.date, extracts: str) -> str:
+    """Add the bitmaps of one period to the stored extracts; a repeated run replaces its own period."""
+    return presence.store_presence(filters.at_period(edges, run_date), extracts)
+
+
+def provider_history(
+    bitmaps: DataFrame, provider_dim: DataFrame, parent_dim: DataFrame, run_date: dt.date, folder: str,
+    history_periods: int = 7, stability_periods: int = 5, period_months: int = 1,
+) -> dict[str, str]:
+    """Coverage and stability of providers and parents from stored extracts alone."""
+    history = periods_back(run_date, history_periods, period_months)
+    cohort = periods_back(run_date, stability_periods, period_months)
+    window = materialise(filters.in_periods(bitmaps, history[0], run_date))
+    of_parents = materialise(presence.presence_of_parents(window, provider_dim, parent_dim))
+    coverage, of_cohort = presence.coverage(window), presence.stability_of_cohort(window, cohort)
+    tables = {
+        "coverage_history": providers.coverage_labelled(coverage, provider_dim, parent_dim),
+        "coverage_history_parent": providers.parent_coverage_labelled(
+            presence.coverage(of_parents, ["parent_agg_id", "run_date"]), parent_dim),
+        "stability": stability.with_type(of_cohort, provider_dim.join(parent_dim, "parent_agg_id").select("agg_id", "type")),
+        "stability_parent": stability.with_type(
+            presence.stability_of_cohort(of_parents, cohort, "parent_agg_id", window), parent_dim, "parent_agg_id"),
+    }
+    return {name: write_report(df, folder, name, run_date) for name, df in tables.items()}
+
+
+def software_review(
+    edges: DataFrame, listed: DataFrame, products: DataFrame, run_date: dt.date, folder: str, min_entities: int = 500,
+    period_months: int = 1,
+) -> dict[str, str]:
+    """New and disappeared IPs of listed software, with its vendor and product line (``products``: agg_id, vendor, product)."""
+    previous = periods_back(run_date, 2, period_months)[0]
+    names = products.select(F.col("agg_id").alias("outlier_agg_id"), F.concat_ws(" ", "vendor", "product").alias("software"))
+    kinds = {"new IPs": churn.new_ips, "disappeared IPs": churn.disappeared_ips}
+    found = [fn(edges, listed, previous, run_date, min_entities).withColumn("type", F.lit(kind)) for kind, fn in kinds.items()]
+    named = found[0].unionByName(found[1]).join(sized_broadcast(names), "outlier_agg_id", "left")
+    return {"software_churn": write_report(named, folder, "software_churn", run_date, sort=["outlier_agg_id", F.desc("n_entities"), "ip_dec"])}
+
+
+def dns_review(
+    edges: DataFrame, ip_maps: Sequence[DataFrame], listed: DataFrame, run_date: dt.date, folder: str,
+    min_entities: int = 50, period_months: int = 1,
+) -> dict[str, str]:
+    """New and disappeared IPs of the users of listed DNS providers, through the IP maps of the period before."""
+    previous = periods_back(run_date, 2, period_months)[0]
+    changes = churn.shifted_ip_churn(
+        edges, churn.union_ip_maps(*ip_maps), listed, previous, run_date, period_months, min_entities)
+    path = f"{folder.rstrip('/')}/dns_churn"
+    write_partitioned(changes, path, ["outlier_agg_id", "type"], sort=[F.desc("n_entities")])
+    return {"dns_churn": path}
+
+
+def coverage_comparison(raw: DataFrame, smoothed: DataFrame, run_date: dt.date, folder: str) -> dict[str, str]:
+    """Coverage of the raw and the smoothed source, and its change in the latest period."""
+    compared = materialise(providers.coverage_compare(raw, smoothed))
+    return {
+        "coverage_both": write_report(compared, folder, "coverage_both", run_date, sort=["agg_id", "run_date"]),
+        "coverage_change": write_report(providers.coverage_change(compared, run_date), folder, "coverage_change", run_date),
+    }
+
+
 def outlier_review(
     universe: DataFrame, reviewed: DataFrame, run_date: dt.date, folder: str,
     previous: dt.date | None = None, rules: OutlierRules = OutlierRules(), method: str = "pca",
@@ -136,11 +197,15 @@ def outlier_review(
     now = filters.at_period(universe, run_date)
     columns = universe.columns
     big = (F.col("revenue") >= rules.big_revenue) | (F.col("employees") >= rules.big_employees)
+    big_income = big | (F.abs("income") >= rules.big_income)
     found = [outliers.income_above_revenue(universe, run_date, rules)]
-    for with_income in (False, True):
-        scored = reconstruction.recon_outliers(now, with_income, method)
-        wanted = big | (F.abs("income") >= rules.big_income) if with_income else big
-        found.append(ranking.top_overall(scored.filter(wanted), k=rules.top_overall).select(*columns))
+    if method == "pca":
+        scored = reconstruction.nested_scores(now)
+        found.append(ranking.top_of_either(scored, {"score_2": big, "score_3": big_income}, rules.top_overall).select(*columns))
+    else:
+        for with_income, wanted in ((False, big), (True, big_income)):
+            scored = reconstruction.recon_outliers(now, with_income, method)
+            found.append(ranking.top_overall(scored.filter(wanted), k=rules.top_overall).select(*columns))
     review = materialise(outliers.review_list(found, reviewed))
     changes = outliers.period_changes(universe, previous, run_date, rules)
     listed = outliers.change_list(changes, review, reviewed, rules=rules)

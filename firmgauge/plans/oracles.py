@@ -512,6 +512,20 @@ _SQL = {
               from compared where run_date = {WEEK[4]})""",
     "ip_churn_new": _ONE_SIDED.format(source="event_ip", here=WEEK[3], there=WEEK[2], extra=""),
     "ip_churn_disappeared": _ONE_SIDED.format(source="event_ip", here=WEEK[2], there=WEEK[3], extra=""),
+    **{f"software_churn_{kind}": _ONE_SIDED.format(
+        source="(select * from provider_edge where agg_id in (select agg_id from outlier_list))", here=here, there=there, extra="")
+       for kind, here, there in (("new", LATEST, PREVIOUS), ("disappeared", PREVIOUS, LATEST))},
+    "presence_coverage": "select * from coverage",
+    "presence_coverage_parent": f"""select parent_agg_id, run_date, count(distinct entity_id) as num_entities
+        from labelled_edge where run_date between {SEVEN} and {LATEST} group by all""",
+    "presence_coverage_window": f"""select agg_id, count(distinct entity_id) as num_entities from provider_edge
+        where run_date between {PREVIOUS} and {LATEST} group by agg_id""",
+    "presence_stability": f"""select agg_id, cast(sum(entity_cnt) as bigint) as total_entities,
+        cast(coalesce(sum(entity_cnt) filter (month_cnt = 5), 0) as bigint) as stable_entities,
+        {_r('coalesce(sum(entity_cnt) filter (month_cnt = 5), 0) / sum(entity_cnt)', 'stability')}
+        from week_histogram group by agg_id""",
+    "presence_stability_parent": f"""select *, {_r('cast(stable_entities as double) / total_entities', 'stability')}
+        from parent_stable""",
     "ip_map_union": "select * from all_ips",
     "ip_churn_shifted": _ONE_SIDED.format(source="shifted", here=LATEST, there=PREVIOUS, extra=", 'new IPs' as type")
     + " union all " + _ONE_SIDED.format(source="shifted", here=PREVIOUS, there=LATEST, extra=", 'disappeared IPs' as type"),

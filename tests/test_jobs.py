@@ -77,3 +77,38 @@ def test_email(spark, t, tmp_path):
     quadrants = {(r["public_key"], r["policy"]): int(r["n"]) for r in csv(spark, paths["quadrants"]).collect()}
     assert sum(quadrants.values()) == t.email_dkim.count()
     assert csv(spark, paths["revenue_density"]).count() == 200
+
+
+def test_history_from_stored_extracts_alone(spark, t, tmp_path):
+    """Periods are stored one by one, a repeated one replaces itself, and no edge is read afterwards."""
+    extracts = str(tmp_path / "presence")
+    days = jobs.periods_back(catalog.LATEST, 7, 12)
+    for day in [*days, days[-1], days[0]]:
+        jobs.store_extract(t.provider_edge, day, extracts)
+    bitmaps = spark.read.parquet(extracts)
+    paths = jobs.provider_history(
+        bitmaps, t.provider_dim, t.parent_dim, catalog.LATEST, str(tmp_path / "out"), stability_periods=2, period_months=12)
+    files = " ".join(spark.read.parquet(extracts).inputFiles())
+    assert "lineitem" not in files and "run_date=2000-01-01" in files
+    same = {"coverage_history": "coverage_labelled", "coverage_history_parent": "coverage_by_parent", "stability_parent": "stability_by_parent"}
+    for report, name in same.items():
+        got = csv(spark, paths[report])
+        want = catalog.bind(catalog.QUERIES[name])(spark, DATA)
+        keys = [c for c in ("agg_id", "parent_agg_id", "run_date", "num_entities", "total_entities", "stable_entities") if c in want.columns]
+        text = lambda df: sorted(tuple(str(x) for x in r) for r in df.select(*keys).collect())
+        assert text(got) == text(want)
+
+
+def test_software_dns_and_comparison(spark, t, tmp_path):
+    products = t.provider_dim.select("agg_id", t.provider_dim.label.alias("vendor"), t.provider_dim.region.alias("product"))
+    paths = jobs.software_review(t.provider_edge, t.outlier_list, products, catalog.LATEST, str(tmp_path), 2, 12)
+    found = csv(spark, paths["software_churn"])
+    both = [catalog.bind(catalog.QUERIES[f"software_churn_{k}"])(spark, DATA).count() for k in ("new", "disappeared")]
+    assert found.count() == sum(both) and found.filter("software is null").count() == 0
+    keys = ["run_date", "entity_id", "ip_dec"]
+    maps = [t.ip_map.select(*keys), t.provider_edge.select(*keys)]
+    paths = jobs.dns_review(t.provider_edge, maps, t.outlier_list, catalog.LATEST, str(tmp_path), 2, 12)
+    assert spark.read.parquet(paths["dns_churn"]).count() == catalog.bind(catalog.QUERIES["ip_churn_shifted"])(spark, DATA).count()
+    paths = jobs.coverage_comparison(t.raw_coverage, t.smoothed_coverage, catalog.WEEKS[-1], str(tmp_path))
+    assert csv(spark, paths["coverage_both"]).count() == catalog.bind(catalog.QUERIES["coverage_compare"])(spark, DATA).count()
+    assert csv(spark, paths["coverage_change"]).count() > 0

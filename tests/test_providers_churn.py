@@ -1,6 +1,9 @@
+import random
+from collections import Counter, defaultdict
+
 import pytest
 
-from firmgauge.operators import churn, providers, stability
+from firmgauge.operators import churn, presence, providers, stability
 
 EDGE = "run_date date, entity_id long, ip_dec long, agg_id long"
 
@@ -117,6 +120,68 @@ def test_pairs_are_compared_by_column_not_as_joined_text(spark, rows, month):
     assert rows(got, "ip_dec") == [(1,), (12,)]
 
 
+def test_moves_of_an_ip_on_every_provider(spark, month):
+    """Against all pairs by hand; one IP is on all providers in both periods."""
+    rng = random.Random(2)
+    a, b = month(1), month(2)
+    provider = spark.createDataFrame([(i, i % 3, f"r{i}") for i in range(12)], "agg_id long, parent_agg_id long, region string")
+    parent = spark.createDataFrame([(i, "p", "t") for i in range(3)], "parent_agg_id long, parent string, type string")
+    data = [(day, e, 1, agg) for day in (a, b) for agg in range(12) for e in range(3)]
+    data += [(rng.choice((a, b)), rng.randint(0, 5), rng.randint(2, 60), rng.randint(0, 11)) for _ in range(400)]
+    n = Counter((day, ip, agg) for day, _, ip, agg in set(data))
+    want, listed = [], (0, 3, 4)
+    for ip in {x[2] for x in data}:
+        for here in listed:
+            if (a, ip, here) not in n and (b, ip, here) not in n:
+                continue
+            old = [g for g in range(12) if g % 3 == here % 3 and (a, ip, g) in n] or [None]
+            new = [g for g in range(12) if g % 3 == here % 3 and (b, ip, g) in n] or [None]
+            want += [(here, ip, x, n.get((a, ip, x)), y, n.get((b, ip, y))) for x in old for y in new if x != y]
+    edges = spark.createDataFrame(data, EDGE)
+    got = churn.ip_churn_same_parent(edges, provider, parent, outliers(spark, *listed), a, b)
+    picked = got.select("outlier_agg_id", "ip_dec", "agg_id0", "n_entities0", "agg_id", "n_entities").collect()
+    assert sorted(map(tuple, picked), key=str) == sorted(want, key=str)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in text and text.count("hashpartitioning(ip_dec") == 1
+
+
+def test_shifted_counts_by_class_match_the_plain_join(spark, month):
+    """Entities with many providers, repeated map rows, a hot entity."""
+    rng = random.Random(9)
+    months = [month(m) for m in (4, 5, 6)]
+    edges = {(rng.choice(months[1:]), e, 0, g) for e in range(40) for g in rng.sample(range(8), rng.choice((1, 1, 3, 8)))}
+    ips = [(rng.choice(months), 0 if rng.random() < 0.5 else rng.randrange(45), rng.randrange(60)) for _ in range(3000)]
+    users, seen = {(g, e) for _, e, _, g in edges if g < 5}, defaultdict(set)
+    for day, e, ip in ips:
+        for g in range(5):
+            if (g, e) in users and day in months[:2]:
+                seen[g, ip, day == months[1]].add(e)
+    want = []
+    for g, ip in {k[:2] for k in seen}:
+        before, after = len(seen.get((g, ip, False), ())), len(seen.get((g, ip, True), ()))
+        if min(before, after) == 0 and max(before, after) >= 2:
+            want.append((g, ip, max(before, after), "new IPs" if after else "disappeared IPs"))
+    ip_map = spark.createDataFrame(ips, "run_date date, entity_id long, ip_dec long")
+    got = churn.shifted_ip_churn(spark.createDataFrame(list(edges), EDGE), ip_map, outliers(spark, *range(5)), months[1], months[2], 1, 2)
+    assert sorted(map(tuple, got.select("outlier_agg_id", "ip_dec", "n_entities", "type").collect())) == sorted(want)
+
+
+def test_bitmaps_count_as_sets_do(spark, month):
+    """Ids over several buckets, members of several providers, a cohort that part of them is not in."""
+    rng = random.Random(1)
+    days = [month(m) for m in (1, 2, 3)]
+    data = list({(rng.choice(days), rng.choice((3, 40_000, 70_000)) + rng.randrange(30), 0, rng.randrange(5)) for _ in range(900)})
+    bits = presence.presence(spark.createDataFrame(data, EDGE))
+    on = lambda g, day: {e for d, e, _, k in data if k == g and d == day}
+    got = {(r["agg_id"], r["run_date"]): r["num_entities"] for r in presence.coverage(bits).collect()}
+    assert got == {(g, d): len(on(g, d)) for g in range(5) for d in days}
+    cohort = {e for d, e, _, _ in data if d == days[0]}
+    table = {r["agg_id"]: (r["total_entities"], r["stable_entities"]) for r in presence.stability_of_cohort(bits, days).collect()}
+    for g in range(5):
+        sets = [on(g, d) & cohort for d in days]
+        assert table[g] == (len(set.union(*sets)), len(set.intersection(*sets)))
+
+
 def test_shifted_map_is_joined_on_entity_only(spark, rows, month):
     edges = spark.createDataFrame([(month(5), 1, 0, 7), (month(6), 1, 0, 7), (month(6), 2, 0, 7)], EDGE)
     first = spark.createDataFrame(
