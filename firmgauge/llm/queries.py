@@ -207,6 +207,35 @@ from family f join subtrees s on s.depth = f.depth and s.k = f.k
 left join nodes up on up.depth = f.depth - 1 and up.k = f.parent
 """
 
+OP9_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+l as (select r, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from d),
+u as (
+    select *, regexp_split_to_array(core, '[\x20\x09-\x0D]+') as words
+    from (select distinct line, text, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as core from l) where core <> ''
+),
+leaved as (
+    select line, text, words, len(words) || ' ' || array_to_string(
+        list_transform(words[1:3], lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end), ' ') as leaf from u
+),
+often as (select line from leaved group by line having count(distinct text) >= 3),
+busy as (select leaf from leaved group by leaf having count(distinct text) >= 3),
+tokens as (
+    select leaf, line, text, unnest(words) as word, generate_subscripts(words, 1) as place
+    from leaved where len(words) >= 3 and leaf in (select leaf from busy)
+),
+constants as (select leaf, place, word from tokens group by all having count(distinct text) >= 3),
+templates as (
+    select t.leaf, t.line, t.text, string_agg(coalesce(c.word, '<*>'), ' ' order by t.place) as template
+    from tokens t left join constants c using (leaf, place, word) group by t.leaf, t.line, t.text having count(c.word) >= 0.7 * count(*)
+),
+recurring as (select leaf, template from templates group by all having count(distinct text) >= 3),
+gone as (select line from often union select line from templates join recurring using (leaf, template))
+select d.doc_id, coalesce(string_agg(l.line, chr(10) order by l.no) filter (l.line not in (select line from gone)), '') as text,
+       count(*) as n_lines, count(*) filter (l.line in (select line from gone)) as n_dropped
+from d join l using (r) group by d.r, d.doc_id
+"""
+
 OP6_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
@@ -231,6 +260,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
+    "op9_line_dedup": OP9_SQL,
     "op11_spelling": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
 }
