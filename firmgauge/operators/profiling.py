@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -174,36 +175,45 @@ def linear_fit(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
     )
 
 
+#: Terms of the power series, and bandwidths beyond which a kernel counts as 0: together below 1e-12 of a row.
+KDE_TERMS, KDE_REACH = 36, 9.0
+
+
 def kde(df: DataFrame, value: str, by: str, points: int = 100, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per group on ``points`` evenly spaced values.
 
     Bandwidth: sample deviation * n^(-1/5). The grid reaches ``cut`` bandwidths beyond the data.
-    Equal values are counted first. Each value adds only to the grid points where its kernel is
-    not exactly zero in double precision (39 bandwidths), and these terms are summed on the map
-    side. A group without spread is left out.
+    A fast Gauss sum: with u and t the distances of a value and of a grid point from the middle of a cell of
+    one bandwidth, exp(-(t - u)^2 / 2) = exp(-t^2 / 2) * sum of t^k / k! * u^k exp(-u^2 / 2). So the rows
+    become ``KDE_TERMS`` moments per cell in one aggregation, and only cells meet the grid points near
+    them, whatever the number of rows or distinct values. A group without spread is left out.
     """
-    data = df.filter(F.col(value).isNotNull())
+    data = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_x"))
     h = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     stats = data.groupBy(by).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
+        F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
     ).filter("_sd > 0").select(
         by, "_n", h.alias("_h"), (F.col("_min") - cut * h).alias("_from"),
         ((F.col("_max") - F.col("_min") + 2 * cut * h) / (points - 1)).alias("_step"),
     )
     stats = small_result(stats)
-    counts = data.groupBy(by, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    offset, reach = F.col("_x") - F.col("_from"), 39 * F.col("_h")
-    first = F.greatest(F.lit(0), F.ceil((offset - reach) / F.col("_step")).cast("int"))
-    last = F.least(F.lit(points - 1), F.floor((offset + reach) / F.col("_step")).cast("int"))
-    terms = counts.join(stats, by).withColumn("point", F.explode(F.sequence(first, last)))
-    u = (F.col("_from") + F.col("point") * F.col("_step") - F.col("_x")) / F.col("_h")
-    sums = terms.groupBy(by, "point").agg(F.sum(F.col("_c") * F.exp(-u * u / 2)).alias("_sum"))
+    scaled = data.join(stats, by).withColumn("_s", (F.col("_x") - F.col("_from")) / F.col("_h"))
+    celled = scaled.withColumn("_cell", F.round("_s")).withColumn("_u", F.col("_s") - F.col("_cell"))
+    weight = F.exp(-F.col("_u") * F.col("_u") / 2)
+    moments = celled.groupBy(by, "_cell").agg(*(F.sum(F.pow("_u", F.lit(float(k))) * weight).alias(f"_m{k}") for k in range(KDE_TERMS)))
+    near = F.col("_step") / F.col("_h")  # bandwidths from one grid point to the next
+    first = F.greatest(F.lit(0), F.ceil((F.col("_cell") - KDE_REACH) / near).cast("int"))
+    last = F.least(F.lit(points - 1), F.floor((F.col("_cell") + KDE_REACH) / near).cast("int"))
+    terms = moments.join(stats, by).filter(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    t = F.col("point") * near - F.col("_cell")
+    terms = terms.withColumn("_t", t)
+    series = sum((F.pow("_t", F.lit(float(k))) * (F.col(f"_m{k}") / float(math.factorial(k))) for k in range(KDE_TERMS)), F.lit(0.0))
+    sums = terms.groupBy(by, "point").agg(F.sum(F.exp(-F.col("_t") * F.col("_t") / 2) * series).alias("_sum"))
     grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     scale = F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi())
     return grid.join(sums, [by, "point"], "left").select(
         by, "point", (F.col("_from") + F.col("point") * F.col("_step")).alias("x"),
-        (F.coalesce(F.col("_sum"), F.lit(0.0)) / scale).alias("density"),
+        (F.greatest(F.coalesce(F.col("_sum"), F.lit(0.0)), F.lit(0.0)) / scale).alias("density"),
     )
 
 

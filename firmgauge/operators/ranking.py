@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firmgauge.operators.scale import BROADCAST_ROWS, materialise
+from firmgauge.operators.scale import BROADCAST_ROWS, materialise, sized_broadcast
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -71,13 +72,14 @@ def values_at_ranks(
     """Per group its number of values ``size`` and the values at wanted ranks, one column each.
 
     ``ranks`` maps the size to ``{name: rank}``, counted from 0 in ascending order; a rank outside the group
-    gives null. Null values don't count, and a group without values is left out. The group and value
+    gives null. A rank may use columns of the group as ``key.<name>``. Null values don't count, and a group without values is left out. The group and value
     columns are stored once, their groups are counted, and the rest is lazy. Up to ``max_groups``
     groups the bins are broadcast, and the result asks to be.
     """
     by = list(by)
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    bits = ordered_bits(F.col(value).cast("double"))
+    whole = isinstance(df.schema[value].dataType, T.IntegralType)
+    bits = F.col(value).cast("long") if whole else ordered_bits(F.col(value).cast("double"))
     rest, digits = 64, []
     for i, n in enumerate(LEVELS):
         rest -= n
@@ -175,3 +177,31 @@ def top_of_either(df: DataFrame, scores: dict[str, Column], k: int = 180) -> Dat
         edge = edges.filter(F.col("score") == c).select("threshold").scalar()
         top = top | F.coalesce(taken & (F.col(c) > edge), F.lit(False))
     return df.filter(top)
+
+
+def top_in_groups(df: DataFrame, value: str, ids: str, by: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` rows of each group with the largest value, and their ``rank`` from 1; ties by ``ids``.
+
+    ``ids`` are whole numbers, once in a group; null values come last. The value of the n-th row is selected by
+    counted digits, and so is the last id among the rows with just that value. Only the ``n`` rows
+    of a group are sorted, whatever the group's size.
+    """
+    by, low = list(by), float("-inf")
+    keyed = df.withColumn("_value", F.coalesce(F.col(value).cast("double"), F.lit(low)))
+    edges = values_at_ranks(keyed, "_value", by, lambda size: {"edge": F.greatest(size - n, F.lit(0))}).drop("size")
+    marked = join_groups(keyed, edges, by).filter(F.col("_value") >= F.col("edge"))
+    places = (F.lit(n) - F.count_if(F.col("_value") > F.col("edge"))).alias("_places")
+    placed = join_groups(marked, sized_broadcast(materialise(marked.groupBy(*by).agg(places))), by)
+    ties = placed.filter((F.col("_value") == F.col("edge")) & (F.col("_places") > 0))
+    last = values_at_ranks(ties, ids, [*by, "_places"], lambda size: {"last": F.least(F.col("key._places"), size) - 1})
+    taken = join_groups(placed, last.drop("size", "_places"), by, "left").filter(
+        (F.col("_value") > F.col("edge")) | (F.col(ids) <= F.col("last")))
+    order = Window.partitionBy(*by).orderBy(F.desc("_value"), F.asc(ids))
+    return taken.withColumn("rank", F.row_number().over(order)).select(*df.columns, "rank")
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the columns ``by``, null being a group like others; they stay once."""
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return left.join(named, same, how).drop(*(f"_of_{c}" for c in by))

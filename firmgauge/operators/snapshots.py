@@ -12,7 +12,8 @@ from firmgauge.functions.columns import fixed, mean, with_bins
 from firmgauge.operators.filters import (
     at_period, complete_history, distinct_on, filter_optional, in_periods, keep_ids,
 )
-from firmgauge.operators.scale import BROADCAST_ROWS, small_result
+from firmgauge.operators.ranking import join_groups, top_in_groups
+from firmgauge.operators.scale import BROADCAST_ROWS, materialise, small_result
 from firmgauge.schemas import BINS_10, METRICS, Bins
 
 ATTRIBUTES = ("entity_id", "entity_name", "sector", "revenue")
@@ -99,6 +100,10 @@ def score_change(scores: DataFrame, latest: dt.date, metrics: Sequence[str] = ("
     )
 
 
+#: Ranks up to which Spark cuts a window to its first rows before the shuffle (its default).
+WINDOW_ROWS = 1000
+
+
 def _by_change() -> list[Column]:
     return [F.desc_nulls_last("cy_change"), F.asc("entity_id")]
 
@@ -126,13 +131,19 @@ def top_movers_by_group(
     """Full history of the ``n`` top risers of each sector and revenue bin, with rank.
 
     All groups in one pass. The rank is dense over (change, entity), so the versions of an entity
-    in a group share it, and the window is cut to ``n`` ranks per group before its shuffle. The
+    in a group share it. Up to ``WINDOW_ROWS`` ranks the window is cut before its shuffle; beyond, Spark
+    would sort whole groups, and the cut of each group is selected first (``top_in_groups``). The
     winners are computed once; if few, they are broadcast to the scores.
     """
-    order = Window.partitionBy("sector", "revenue_bin").orderBy(*_by_change())
-    ranked = with_bins(attributes, bins).join(score_change(scores, latest), "entity_id").withColumn(
-        "rank", F.dense_rank().over(order)
-    ).filter(F.col("rank") <= n)
+    groups = ["sector", "revenue_bin"]
+    binned = with_bins(attributes, bins).join(score_change(scores, latest), "entity_id")
+    if n <= WINDOW_ROWS:
+        order = Window.partitionBy(*groups).orderBy(*_by_change())
+        ranked = binned.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= n)
+    else:
+        once = materialise(binned.select(*groups, "entity_id", "cy_change").distinct())
+        best = top_in_groups(once, "cy_change", "entity_id", groups, n).drop("cy_change")
+        ranked = join_groups(binned, best, [*groups, "entity_id"])
     best = small_result(ranked.select(*attributes.columns, "revenue_bin", "bin_order", "cy_change", "rank"))
     return entity_scores_fanout(best, scores)
 

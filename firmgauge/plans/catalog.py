@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,9 @@ from firmgauge.operators import (
 from firmgauge.operators.scale import materialise
 from firmgauge.plans.views import Tables
 from firmgauge.schemas import BINS_10, BINS_4, BINS_5, BINS_DEFAULT, METRICS, OutlierRules
-from firmgauge.sources import readers
+from firmgauge.session import shared_folder
+from firmgauge.sources import extracts, ingest, readers
+from firmgauge.sources.writers import write_partitioned
 
 LATEST, PREVIOUS = dt.date(2000, 1, 1), dt.date(1999, 1, 1)
 FIRST_OF_SIX, FIRST_OF_SEVEN = dt.date(1995, 1, 1), dt.date(1994, 1, 1)
@@ -112,6 +115,27 @@ def flatten_json(t: Tables) -> DataFrame:
     return readers.flatten(t.events.select("event_id", "event_type", "props"), "props", "k int")
 
 
+@query
+def flatten_documents(t: Tables) -> DataFrame:
+    """The same documents, their shape being found first."""
+    return readers.flatten_documents(t.events.select("event_id", "event_type", "props"), "props")
+
+
+@query
+def ingest_customers(t: Tables) -> DataFrame:
+    """A table written as CSV files to the shared folder, taken in by header and read back."""
+    folder = f"{shared_folder(t.spark)}/ingest-{uuid.uuid4().hex}"
+    columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    kinds = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    odd = F.col("c_custkey") % 2 == 1
+    # Two writers: one has another order of columns and an old name.
+    t.customer.where(odd).select(*columns).write.option("header", True).csv(f"{folder}/source/a")
+    t.customer.where(~odd).select("c_mktsegment", F.col("c_custkey").alias("CustKey"), *columns[1:4]).write.option("header", True).csv(f"{folder}/source/b")
+    to = ingest.Ingest(f"{folder}/taken")
+    ingest.take_in(t.spark, f"{folder}/source", T.StructType.fromDDL(kinds), to, {"custkey": "c_custkey"})
+    return t.spark.read.parquet(to.rows).select(*columns)
+
+
 @query
 def mapping_join(t: Tables) -> DataFrame:
     mapping = readers.mapping_at(t.id_mapping, LATEST)
@@ -193,6 +217,17 @@ def entity_scores(t: Tables) -> DataFrame:
     return _two_periods(t)
 
 
+@query
+def entity_scores_stored(t: Tables) -> DataFrame:
+    """The same join over extracts stored in buckets; the second period is appended to the first."""
+    run, folder = uuid.uuid4().hex, shared_folder(t.spark)
+    sides = {"snapshot": _universe(t, PREVIOUS, LATEST), "score": filters.in_periods(t.score, PREVIOUS, LATEST)}
+    for name, df in sides.items():
+        extracts.store_bucketed(filters.at_period(df, PREVIOUS), f"{name}_{run}", f"{folder}/{name}-{run}", 16)
+        extracts.append_bucketed(filters.at_period(df, LATEST), f"{name}_{run}")
+    return snapshots.entity_scores(*(t.spark.table(f"{name}_{run}") for name in sides))
+
+
 @query
 def entity_scores_fanout(t: Tables) -> DataFrame:
     return _histories(t)
@@ -251,6 +286,24 @@ def top_movers_by_sector_bin(t: Tables) -> DataFrame:
     return _movers(t, 15)
 
 
+@query
+def top_movers_deep(t: Tables) -> DataFrame:
+    """Far more movers than a window is cut to."""
+    return _movers(t, 5000)
+
+
+@query
+def top_movers_timeseries_chosen(t: Tables) -> DataFrame:
+    """Series of one chosen sector and revenue bin."""
+    return snapshots.mover_series(materialise(_movers(t)), sector="AUTOMOBILE", revenue_bin="100-500M")
+
+
+@query
+def zscore_extremes_gap_free(t: Tables) -> DataFrame:
+    """Extremes among companies with all six periods."""
+    return rounded(snapshots.score_extremes(materialise(_movers(t))), 10)
+
+
 @query
 def top_movers_timeseries(t: Tables) -> DataFrame:
     return snapshots.mover_series(materialise(_movers(t)), sector="All", revenue_bin="All")
@@ -484,6 +537,17 @@ def scan_findings_all_months(t: Tables) -> DataFrame:
     return scans.scan_findings(t.scan_result, t.ip_map, None)
 
 
+@query
+def scan_findings_listed_months(t: Tables) -> DataFrame:
+    """Findings of the months of finished large orders; the results are stored by month and only those months are read."""
+    path = f"{shared_folder(t.spark)}/scan-months-{uuid.uuid4().hex}"
+    write_partitioned(t.scan_result, path, ["scan_month"])
+    months = t.orders.where("o_totalprice > 300000 and o_orderstatus = 'F'").select(
+        F.trunc("o_orderdate", "year").alias("scan_month"))
+    columns = t.scan_result.columns
+    return scans.scan_findings(readers.read_month_partitions(t.spark, path, months, columns=columns), t.ip_map, None)
+
+
 @query
 def scan_enriched(t: Tables) -> DataFrame:
     return scans.enrich(scan_findings(t), t.vuln_ref)
@@ -519,6 +583,14 @@ def patching_heatmap(t: Tables) -> DataFrame:
     return rounded(scans.patching_heatmap(_patching(t), min_companies=10))
 
 
+@query
+def patching_heatmap_owned(t: Tables) -> DataFrame:
+    """Companies with findings on own IPs only."""
+    companies = _union_universe(t).drop("source").distinct()
+    base = scans.patching_base(companies, t.patching, 6, findings_on_owned_ips(t))
+    return rounded(scans.patching_heatmap(base, min_companies=2))
+
+
 @query
 def boxplot_by_sector(t: Tables) -> DataFrame:
     return rounded(profiling.boxplot(_patching(t), "total_patched", "sector"))
@@ -714,6 +786,20 @@ def key_length_outliers(t: Tables) -> DataFrame:
     return rounded(profiling.key_length_outliers(_dkim(t).join(t.email_entity, "entity_id"), 2000))
 
 
+@query
+def key_length_scatter(t: Tables) -> DataFrame:
+    """Log revenue against key length of companies with keys."""
+    rows = _dkim(t).join(t.email_entity, "entity_id").filter("public_key = 1")
+    return rounded(rows.select("entity_id", F.log1p("revenue").alias("log_revenue"), "max_public_key_length"))
+
+
+@query
+def record_count_scatter(t: Tables) -> DataFrame:
+    """Revenue against the number of records of companies with keys."""
+    rows = _dkim(t).join(t.email_entity, "entity_id").filter("public_key = 1")
+    return rounded(rows.select("entity_id", "revenue", "agg_cnt"))
+
+
 @query
 def coverage_breakdown(t: Tables) -> DataFrame:
     return rounded(profiling.coverage_breakdown(t.email_dkim, t.email_entity))
@@ -747,6 +833,12 @@ def linear_fit_by_sector(t: Tables) -> DataFrame:
     return rounded(profiling.linear_fit(rows, "employees_norm", "revenue_norm", ["sector"]))
 
 
+@query
+def linear_fit_income(t: Tables) -> DataFrame:
+    rows = reconstruction.log_features(_now(t), with_income=True)
+    return rounded(profiling.linear_fit(rows, "income_norm", "revenue_norm", ["sector"]))
+
+
 _NUMBERS = ("revenue", "income", "employees", "cy", "mo", "sus")
 
 

@@ -116,6 +116,10 @@ HELPERS = {
         select b.*, r.cy_change, r."rank", h.run_date, h.cy, h.mo, h.sus
         from binned b join ranked r using (entity_id, sector, revenue_bin) join history h using (entity_id)
         where r."rank" <= 200""",
+    "chosen_movers": """
+        with chosen as (select * from movers where sector = 'AUTOMOBILE' and revenue_bin = '100-500M')
+        select * from chosen where (sector, entity_id) in (
+            select (sector, entity_id) from chosen group by sector, entity_id having count(*) = 6)""",
     "complete_movers": """
         select * from movers where (sector, entity_id) in (
             select (sector, entity_id) from movers group by sector, entity_id having count(*) = 6)""",
@@ -393,6 +397,9 @@ _SQL = {
         order by md5(concat(cast(doc_id as varchar), '-7')), doc_id limit 100""",
     "flatten_json": """select event_id, event_type,
         cast(regexp_extract(props, '"k": ([0-9]+)', 1) as int) as k from events""",
+    "flatten_documents": """select event_id, event_type,
+        cast(regexp_extract(props, '"k": ([0-9]+)', 1) as bigint) as k from events""",
+    "ingest_customers": "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer",
     "mapping_join": f"""select s.entity_id, duns_key, cy from score s
         join id_mapping m on m.entity_id = s.entity_id and m.run_date = {LATEST} where s.run_date = {LATEST}""",
     "reviewed_ids": "select distinct entity_id from reviewed",
@@ -419,6 +426,7 @@ _SQL = {
         group by entity_id having count(distinct run_date) = 6""",
     # snapshots
     "entity_scores": "select * from two_periods",
+    "entity_scores_stored": "select * from two_periods",
     "entity_scores_fanout": "select * from histories",
     "semi_join": "select * from history where entity_id in (select entity_id from versions)",
     "country_scores": f"""select country, {', '.join(_r(f'avg({m})', f'country_{m}_avg') for m in METRICS)},
@@ -442,6 +450,36 @@ _SQL = {
         from change where entity_id in (select entity_id from versions)) t using (entity_id)
         where t."rank" <= 200""",
     "top_movers_by_sector_bin": """select * from movers where "rank" <= 15""",
+    "top_movers_deep": """select b.*, r.cy_change, r."rank", h.run_date, h.cy, h.mo, h.sus
+        from binned b join ranked r using (entity_id, sector, revenue_bin) join history h using (entity_id)
+        where r."rank" <= 5000""",
+    "top_movers_timeseries_chosen": f"""
+        with placed_ids as (
+            select sector, entity_id, cy_change, cast(row_number() over (
+                partition by sector order by cy_change desc nulls last, entity_id) as int) as position
+            from (select distinct sector, entity_id, cy_change from chosen_movers)),
+        shown as (select c.* exclude (cy_change), p.position from chosen_movers c
+                  join placed_ids p using (sector, entity_id) where p.position <= 10)
+        select s.sector, s.entity_id, s.entity_name, s.revenue_bin, s.position, s.run_date, s.variable, s.value,
+               g.low, g.high
+        from (select sector, entity_id, entity_name, revenue_bin, position, run_date, 'cy' as variable, cy as value from shown
+              union all select sector, entity_id, entity_name, revenue_bin, position, run_date, 'mo', mo from shown
+              union all select sector, entity_id, entity_name, revenue_bin, position, run_date, 'sus', sus from shown) s
+        join (select sector, entity_id, least(min(cy), min(mo), min(sus)) as low,
+                     greatest(max(cy), max(mo), max(sus)) as high
+              from shown group by sector, entity_id) g using (sector, entity_id)""",
+    "zscore_extremes_gap_free": f"""
+        with z as (select sector, entity_name, cy_avg,
+                          round((cy_avg - avg(cy_avg) over w) / stddev_samp(cy_avg) over w, 2) + 0 as cy_avg_z
+                   from (select sector, entity_name, avg(cy) as cy_avg from complete_movers group by all)
+                   window w as (partition by sector)),
+        n as (select *, row_number() over (partition by sector order by cy_avg_z, entity_name) as rn,
+                     count(*) over (partition by sector) as size from z)
+        select sector, entity_name, {_r('cy_avg', 'cy_avg', 10)}, cy_avg_z,
+               case when cy_avg_z < 0 then 'below average (safe)'
+                    when cy_avg_z >= 0 then 'above average (risky)' end as cy_avg_type,
+               case when rn <= 20 then 'low' else 'high' end as side
+        from n where rn <= 20 or rn > size - 20""",
     "top_movers_timeseries": f"""
         with placed_ids as (
             select sector, entity_id, cy_change, cast(row_number() over (
@@ -557,6 +595,10 @@ _SQL = {
     "scan_findings_by_ip": "select * from finding_ip",
     "scan_findings_all_months": """select h.scan_month, m.entity_id, h.nvt_oid, max(h.severity) as severity,
         max(h.cvss) as cvss from hits h join ip_map m on m.ip_dec = h.ip and m.run_date = h.scan_month group by all""",
+    "scan_findings_listed_months": """select h.scan_month, m.entity_id, h.nvt_oid, max(h.severity) as severity,
+        max(h.cvss) as cvss from hits h join ip_map m on m.ip_dec = h.ip and m.run_date = h.scan_month
+        where h.scan_month in (select cast(date_trunc('year', o_orderdate) as date) from orders
+                               where o_totalprice > 300000 and o_orderstatus = 'F') group by all""",
     "scan_enriched": """select f.nvt_oid, f.entity_id, f.severity, f.cvss as cvss_scan, r.nvt_name,
         r.cvss as cvss_ref, r.vulntype from finding f join vuln_ref r using (nvt_oid)""",
     "scan_by_vulntype": """select distinct entity_id from finding join vuln_ref using (nvt_oid)
@@ -572,6 +614,10 @@ _SQL = {
     "patching_heatmap": f"""select revenue_bin, bin_order, sector,
         {', '.join(_r(f'avg({c}_patched)', f'mean_{c}_patched') for c in ('total', 'low', 'medium', 'high'))},
         count(*) as n from patched group by all having count(*) >= 10""",
+    "patching_heatmap_owned": f"""select revenue_bin, bin_order, sector,
+        {', '.join(_r(f'avg({c}_patched)', f'mean_{c}_patched') for c in ('total', 'low', 'medium', 'high'))},
+        count(*) as n from patched where entity_id in (select entity_id from finding_ip where ip in (select ip_dec from owned))
+        group by all having count(*) >= 2""",
     "boxplot_by_sector": f"""
         with q as (select sector, quantile_cont(total_patched, 0.25) as q1, quantile_cont(total_patched, 0.5) as median,
                           quantile_cont(total_patched, 0.75) as q3 from patched group by sector),
@@ -637,6 +683,9 @@ _SQL = {
     "email_quadrants": "select public_key, policy, count(*) as n from dkim join dmarc using (entity_id) group by all",
     "key_length_outliers": f"""select distinct entity_id, max_public_key_length, {_r('ln(revenue + 1)', 'log_revenue')}
         from dkim_company where sector is not null and public_key = 1 and max_public_key_length > 2000""",
+    "key_length_scatter": f"""select entity_id, {_r('ln(revenue + 1)', 'log_revenue')}, max_public_key_length
+        from dkim_company where public_key = 1 and entity_id in (select entity_id from email_entity)""",
+    "record_count_scatter": f"select entity_id, {_r('revenue', 'revenue')}, agg_cnt from dkim_company where public_key = 1 and entity_id in (select entity_id from email_entity)",
     "coverage_breakdown": f"""select sector, {BINDEF} as revenue_bin, count(*) as n_base, count(d.entity_id) as n_covered,
         {_r('count(d.entity_id) / cast(count(*) as double)', 'share')}
         from email_entity e left join email_dkim d on d.entity_id = e.entity_id group by all""",
@@ -656,6 +705,8 @@ _SQL = {
     "histogram_clipped": """select cast(least(floor((x - lo) * 100 / (hi - lo)), 99) as int) as bin, count(*) as n
         from (select outlier_score as x, min(outlier_score) over () as lo, max(outlier_score) over () as hi
               from recon2 where outlier_score between 0 and 2) group by 1""",
+    "linear_fit_income": f"""select sector, count(*) as n, {_r('regr_slope(i, r)', 'slope')},
+        {_r('regr_intercept(i, r)', 'intercept')}, {_r('regr_r2(i, r)', 'r2')} from norm3 group by sector""",
     "linear_fit_by_sector": f"""select sector, count(*) as n, {_r('regr_slope(e, r)', 'slope')},
         {_r('regr_intercept(e, r)', 'intercept')}, {_r('regr_r2(e, r)', 'r2')} from norm2 group by sector""",
     "corr_pearson": " union all ".join(

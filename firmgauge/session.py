@@ -43,3 +43,11 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     if folder:
         context.setCheckpointDir(folder)
     return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored tables; a session on a cluster must name it."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    return folder.rstrip("/")

@@ -114,3 +114,21 @@ def test_coverage_breakdown(spark, rows):
     base = spark.createDataFrame([(1, "S", 1.0), (2, "S", 1.0), (3, "T", 7.0)], "entity_id long, sector string, revenue double")
     covered = spark.createDataFrame([(1,), (1,), (9,)], "entity_id long")
     assert rows(profiling.coverage_breakdown(covered, base)) == [("S", "<5M", 2, 1, 0.5), ("T", "5-10M", 1, 0, 0.0)]
+
+
+def test_fast_density_is_the_plain_sum(spark):
+    """To ten digits of the peak: many values in a cell, a far outlier, groups of two sizes."""
+    rng = np.random.default_rng(4)
+    data = {"a": np.concatenate([rng.normal(0, 1, 4000), [400.0]]), "b": rng.lognormal(0, 1, 50), "c": np.full(5, 2.0)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs], "g string, v double")
+    got = {}
+    for r in profiling.kde(df, "v", "g").collect():
+        got.setdefault(r["g"], {})[r["point"]] = (r["x"], r["density"])
+    assert set(got) == {"a", "b"} and all(len(p) == 100 for p in got.values())
+    for g, points in got.items():
+        xs = data[g]
+        h = xs.std(ddof=1) * len(xs) ** -0.2
+        for x, density in points.values():
+            plain = np.exp(-(((x - xs) / h) ** 2) / 2).sum() / (len(xs) * h * np.sqrt(2 * np.pi))
+            assert abs(density - plain) < 1e-10 / (h * np.sqrt(2 * np.pi))
+    assert not any(w in profiling.kde(df, "v", "g")._jdf.queryExecution().analyzed().toString() for w in ("MapInArrow", "collect_list"))

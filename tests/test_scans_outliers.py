@@ -260,3 +260,17 @@ def test_network_ranks_like_pca(spark):
 def test_error_by_split_counts_every_row(spark):
     scored = reconstruction.recon_outliers(companies(spark, 90))
     assert reconstruction.error_by_split(scored).agg(F.sum("n")).first()[0] == 90
+
+
+def test_top_of_groups_of_any_size(spark):
+    """Ties across the cut, missing values, a group of half of all rows, groups smaller than n, a null group."""
+    rng = random.Random(12)
+    data = [(i, "big" if i % 2 else rng.choice(["s", None]), rng.choice([None, 1.0, 2.0, round(rng.random(), 2), -3.5])) for i in range(9000)]
+    df = spark.createDataFrame(data, "id long, g string, v double").repartition(6)
+    for n in (1, 700, 3000):
+        got = sorted((r["g"] or "", r["rank"], r["id"]) for r in ranking.top_in_groups(df, "v", "id", ["g"], n).collect())
+        want = []
+        for g in ("big", "s", None):
+            rows = sorted((-v if v is not None else math.inf, i) for i, k, v in data if k == g)
+            want += [(g or "", r + 1, i) for r, (_, i) in enumerate(rows[:n])]
+        assert got == sorted(want)
