@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmgauge.llm.common import stored
+from firmgauge.llm.common import dropped, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,8 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        same = edges.join(small, ["u", "v"], "left_anti")
-        if not same.head(1):
+        same = not edges.join(small, ["u", "v"], "left_anti").head(1)
+        dropped(edges, large)
+        if same:
             break
         edges = small
     stars = small.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -6,15 +6,20 @@ tokens first and differ in how they break ties, so sets of own text have only to
 in front and drop out. A pair is a candidate only if it shares a prefix token under every order.
 
 1. Each text becomes a set of hashed shingles. Equal sets are one node from here on.
-2. Tokens are dealt by hash range; each range counts in how many sets its tokens are, and sends
-   back those that several sets have. Tokens of very many sets, found beforehand by
-   counting in each task, are kept out of the ranges (a bounded list) and rank last in all orders.
-3. A set can have a partner only if it shares at least ``t n`` of its tokens with others; the rest
-   drop out. Postings of the first order link the remaining sets.
-4. Links are verified in rounds. In a round every posting list names a few pivots, and only pairs of
-   a pivot and a member of another component are candidates; so the pairs of a round grow with the
-   postings and not with their square. Pivots were compared with the whole list and leave it; the
+2. Tokens are dealt by hash range, shortened to 48 bits, and each range counts in how many places its tokens are. What
+   is kept of the counts are bit tables of a fixed size, one for each level of ``LEVELS``: a token's bit is
+   set if it is in that many sets. Any function of the token is an order all sets agree on, so two tokens
+   with one bit cost time and never a link. A token whose first bit is not set is in one set only.
+3. Every task orders its sets' tokens by level. A set whose prefix has only tokens of its own drops out without
+   being sent anywhere. Postings of the first order link the remaining sets.
+4. Links are verified in ``ROUNDS`` rounds first. In a round every posting list names a few pivots, and only pairs
+   of a pivot and a member of another component are candidates; so the pairs of a round grow with the
+   postings and not with their square. The first pivots are the sets with the fewest tokens of
+   their own, as the text that others are copies of. Pivots were compared with the whole list and leave it; the
    number of pivots doubles from round to round. A list is done when one component has all of it.
+5. What several components still have is settled at once: pairs of lists of up to ``SHORT_LIST`` sets as before,
+   longer lists in blocks. Each pair of blocks counts what its sets share as a product of matrices in one task,
+   and sends back no pairs but a forest of the links between components.
 
 No partner is lost: a pair is left out only if both sets are in one component already.
 """
@@ -31,16 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmgauge.llm.common import fresh, slices, split_words, stored
+from firmgauge.llm.common import dropped, packed, slices, split_words, stored, unpacked
 from firmgauge.llm.components import merge_labels
 
 BYTES_AT_ONCE = 4_000_000
 #: Tokens in one hash range; the number of ranges follows from it.
-RANGE_TOKENS = 2_000_000
-#: A token in this share of all sets is kept out of the ranges.
-HEAVY = 0.005
-HEAVY_LEAST = 8
+RANGE_TOKENS = 4_000_000
+#: {number of sets: bits of the table of tokens in that many sets, as a power of two}; 24 MB together.
+LEVELS = {2: 27, 4: 25, 8: 24, 16: 23, 32: 22, 64: 21, 256: 20}
+#: Bits that are kept of a token to count it.
+SHORT = 48
 ORDERS = 3
+#: Rounds of pivots; sets of a list that is still open then and is dealt in blocks of so many sets.
+ROUNDS, SHORT_LIST, BLOCK = 3, 48, 1024
 
 
 def shingles(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -78,126 +86,77 @@ def _size(key: str):
 
 
 def _sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """(id, key, n, token, times): a row per document, and rows of tokens that many sets of a task have."""
+    """(id, key, n): the set of each document by its name."""
     plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "n", "token", "times"]
         for batch in rows:
             for part in slices(batch, 1, BYTES_AT_ONCE):
                 sets = shingles(part.column(1), width)
-                keys = [set_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], names)
-                distinct = list({k: s for k, s in zip(keys, sets)}.values())
-                token, times = np.unique(np.concatenate(distinct), return_counts=True)
-                many = times >= max(HEAVY_LEAST, HEAVY * len(distinct))
-                token, times = token[many].view(np.int64), times[many]
-                yield pa.RecordBatch.from_arrays([
-                    pa.nulls(len(token), part.column(0).type), pa.nulls(len(token), pa.binary()),
-                    pa.nulls(len(token), pa.int64()), pa.array(token), pa.array(times, pa.int64())], names)
+                    part.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
+                    names=["id", "key", "n"])
 
-    schema = T.StructType([plain.schema["id"], *(T.StructField(n, t) for n, t in (
-        ("key", T.BinaryType()), ("n", T.LongType()), ("token", T.LongType()), ("times", T.LongType())))])
+    schema = T.StructType([plain.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType())])
     return plain.mapInArrow(run, schema)
 
 
-def _chunks(docs: DataFrame, text: str, width: int, ranges: int, heavy) -> DataFrame:
-    """Tokens of the distinct sets of a batch by hash range: (range, keys, tokens, owners).
+# --- how many sets hold a token -------------------------------------------------------------
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SHORT)).astype(np.int64)
 
-    Heavy tokens are in negative ranges, by set. ``owners`` are places in ``keys``, 16 bytes each.
-    """
-    plain = docs.select(F.col(text).alias("text"))
-    shift = np.uint64(64 - ranges.bit_length() + 1)
+
+def _token_counts(docs: DataFrame, text: str, width: int, ranges: int) -> DataFrame:
+    """Tokens of the distinct sets of a batch by hash range: (range, tokens, times), sorted and packed."""
+    shift = SHORT - ranges.bit_length() + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = heavy.value
         for batch in rows:
             for part in slices(batch, 0, BYTES_AT_ONCE):
-                sets = {set_key(s): s for s in shingles(part.column(0), width) if len(s)}
+                sets = list({s.tobytes(): s for s in shingles(part.column(0), width) if len(s)}.values())
                 if not sets:
                     continue
-                lengths = np.fromiter(map(len, sets.values()), np.int64, len(sets))
-                tokens = np.concatenate(list(sets.values()))
-                owners = np.repeat(np.arange(len(sets), dtype=np.uint32), lengths)
-                at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
-                apart = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-                place = (tokens >> shift).astype(np.int32) if ranges > 1 else np.zeros(len(tokens), np.int32)
-                home = np.fromiter((int.from_bytes(k[:4], "big") % ranges for k in sets), np.int32, len(sets))
-                place[apart] = -1 - home[owners[apart]]
-                order = np.argsort(place, kind="stable")
-                place, tokens, owners = place[order], tokens[order], owners[order]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
-                all_keys = np.frombuffer(b"".join(sets), "V16")
-                out: list[list] = [[], [], [], []]
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    used, local = np.unique(owners[a:b], return_inverse=True)
-                    for column, value in zip(out, (int(place[a]), all_keys[used].tobytes(), tokens[a:b].tobytes(),
-                                                   local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes())):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["range", "keys", "tokens", "owners"])
-
-    return plain.mapInArrow(run, "range int, keys binary, tokens binary, owners binary")
-
-
-def _unpack(keys: bytes, tokens: bytes, owners: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    token = np.frombuffer(tokens, np.uint64)
-    owner = np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(token) else np.uint32)
-    return np.frombuffer(keys, "V16"), token, owner.astype(np.int64)
-
-
-SHARED = "key binary, tokens array<bigint>, times array<int>"
-
-
-def _per_set(keys: list[bytes], token: np.ndarray, owner: np.ndarray, times: np.ndarray) -> pa.Table:
-    order = np.argsort(owner, kind="stable")
-    owner, token, times = owner[order], token[order], times[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1]) if len(owner) else np.zeros(0, np.int64)
-    offsets = pa.array(np.concatenate([cuts, [len(owner)]]), pa.int32())
-    return pa.table({
-        "key": pa.array([keys[o] for o in owner[cuts].tolist()] if len(owner) else [], pa.binary()),
-        "tokens": pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64))),
-        "times": pa.ListArray.from_arrays(offsets, pa.array(np.minimum(times, 2**31 - 1), pa.int32())),
-    }) if len(owner) else pa.schema([("key", pa.binary()), ("tokens", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]).empty_table()
-
-
-def _count_range(group: pa.Table) -> pa.Table:
-    """Of one hash range: each set with its tokens that other sets have too, and in how many sets each is."""
-    number: dict[bytes, int] = {}
-    seen: set[bytes] = set()
-    tokens, owners, out = [], [], []
-    heavy = group.column("range")[0].as_py() < 0
-    for row in group.select(["keys", "tokens", "owners"]).to_batches():
-        for keys, token, owner in zip(*(c.to_pylist() for c in row.columns)):
-            names, token, owner = _unpack(keys, token, owner)
-            if heavy:
-                new = np.fromiter((k not in seen for k in names.tolist()), bool, len(names))
-                seen.update(names.tolist())
-                token, owner = token[new[owner]], owner[new[owner]]
-                out.append(_per_set(names.tolist(), token, owner, np.full(len(token), 2**31 - 1)))
-                continue
-            named = np.fromiter((number.setdefault(k, len(number)) for k in names.tolist()), np.int64, len(names))
-            tokens.append(token)
-            owners.append(named[owner])
-    if heavy:  # nothing to count: these tokens are known to be in very many sets
-        return pa.concat_tables(out)
-    token, owner = np.concatenate(tokens), np.concatenate(owners)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    edge = np.concatenate([[True], token[1:] != token[:-1]])
-    several = ~(edge & np.concatenate([edge[1:], [True]]))
-    token, owner = token[several], owner[several]
-    order = np.lexsort((owner, token))  # a set that several tasks saw counts once
-    token, owner = token[order], owner[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    token, owner = token[new], owner[new]
-    _, run, times = np.unique(token, return_inverse=True, return_counts=True)
-    times = times[run] if len(token) else np.zeros(0, np.int64)
-    kept = times > 1
-    return _per_set(list(number), token[kept], owner[kept], times[kept])
+                token, times = np.unique(_short(np.concatenate(sets)), return_counts=True)
+                cuts = [0, *(np.flatnonzero(np.diff(token >> shift)) + 1).tolist(), len(token)]
+                out = [(int(token[a] >> shift), packed(np.diff(token[a:b], prepend=0)), packed(np.minimum(times[a:b], 255).astype(np.uint8)))
+                       for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["range", "tokens", "times"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "range long, tokens binary, times binary")
+
+
+def _levels_of_range(group: pa.Table) -> pa.Table:
+    """(level, place) of the tokens of one range: places of the bits to set in the table of each level."""
+    token = np.concatenate([np.cumsum(unpacked(t, np.int64)) for t in group["tokens"].to_pylist()])
+    times = np.concatenate([unpacked(t, np.uint8) for t in group["times"].to_pylist()])
+    token, at = np.unique(token, return_inverse=True)
+    times = np.bincount(at, weights=times, minlength=len(token))
+    places = [np.unique(token[times >= least] % (1 << bits)) for least, bits in LEVELS.items()]
+    return pa.table([pa.array(np.repeat(np.array(list(LEVELS), np.int64), list(map(len, places)))), pa.array(np.concatenate(places))],
+                    ["level", "place"])
+
+
+def token_levels(docs: DataFrame, text: str, width: int, tokens: int) -> dict[int, np.ndarray]:
+    """The bit table of each level; their size does not depend on the number of tokens."""
+    ranges = 1 << max(0, (tokens // RANGE_TOKENS).bit_length())
+    places = _token_counts(docs, text, width, ranges).groupBy("range").applyInArrow(_levels_of_range, "level long, place long")
+    rows = places.groupBy("level", F.bitmap_bucket_number(F.col("place") + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits"))
+    tables = {least: np.zeros(max(1, 1 << bits >> 3), np.uint8) for least, bits in LEVELS.items()}
+    for r in rows.toLocalIterator():  # a row for 32768 bits of a table
+        start = (r["bucket"] - 1) * 4096
+        tables[r["level"]][start:start + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return tables
+
+
+def _level(tokens: np.ndarray, tables: dict[int, np.ndarray]) -> np.ndarray:
+    """0 for tokens of one set, else the number of levels reached."""
+    short, out = _short(tokens), np.zeros(len(tokens), np.int64)
+    for k, (least, bits) in enumerate(LEVELS.items()):
+        place = short % (1 << bits)
+        hit = (tables[least][place >> 3] >> (place & 7)) & 1
+        out = np.where((out == k) & (hit == 1), k + 1, out)
+    return out
 
 
 def _mix(token: np.ndarray, order: int) -> np.ndarray:
@@ -206,30 +165,34 @@ def _mix(token: np.ndarray, order: int) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def _prefixes(percent: int):
-    """Rows (key, tokens, times) to (key, tokens, first, others): sorted tokens, prefix of each order."""
+PREFIXES = "key binary, own long, tokens array<bigint>, first array<bigint>, others array<bigint>"
+
 
+def _prefixes(docs: DataFrame, text: str, width: int, percent: int, tables) -> DataFrame:
+    """The sets that may have a partner, see ``PREFIXES``.
+
+    ``own`` is the number of tokens that few sets have, ``tokens`` are those that several have, ``first`` the
+    prefix of the first order without tokens of this set alone, ``others`` those of the other orders.
+    """
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[list] = [[], [], [], []]
-            for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py()
-                token, first = np.unique(batch.column(1)[i].values.to_numpy().view(np.uint64), return_index=True)
-                times = batch.column(2)[i].values.to_numpy()[first].astype(np.uint64)
-                n = int.from_bytes(key[12:], "big")
-                length = n + percent * n // -100 + 1 - (n - len(token))  # prefix less the tokens of this set alone
-                if length <= 0:
-                    continue
-                rare = np.floor(np.log2(times)).astype(np.uint64)
-                prefix = [np.sort(token[np.lexsort((_mix(token, r), times if r == 0 else rare))[:length]]) for r in range(ORDERS)]
-                out[0].append(key)
-                out[1].append(token.view(np.int64))
-                out[2].append(prefix[0].view(np.int64))
-                out[3].append(np.concatenate(prefix[1:]).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in out[1:])], ["key", "tokens", "first", "others"])
+            for part in slices(batch, 0, BYTES_AT_ONCE):
+                out: list[list] = [[], [], [], [], []]
+                for key, s in {set_key(s): s for s in shingles(part.column(0), width) if len(s)}.items():
+                    n, level = len(s), _level(s, tables.value)
+                    length = n + percent * n // -100 + 1 - int((level == 0).sum())
+                    if length <= 0:
+                        continue
+                    token, rare = s[level > 0], level[level > 0]
+                    prefix = [np.sort(token[np.lexsort((_mix(token, r), rare))[:length]]) for r in range(ORDERS)]
+                    for column, value in zip(out, (key, n - int((level == len(LEVELS)).sum()), token.view(np.int64), prefix[0].view(np.int64),
+                                                   np.concatenate(prefix[1:]).view(np.int64))):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), *(
+                    pa.array(c, pa.list_(pa.int64())) for c in out[2:])], ["key", "own", "tokens", "first", "others"])
 
-    return run
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, PREFIXES)
+    return found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("own", "tokens", "first", "others")))
 
 
 def _verify(percent: int):
@@ -255,40 +218,110 @@ def _verify(percent: int):
     return run
 
 
+def _compare_blocks(percent: int):
+    """Group function: links between components among the sets of one or two blocks, as a forest."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, comps, first = group["key"].to_pylist(), group["comp"].to_pylist(), group["first"].to_numpy()
+        lists = [r.values.to_numpy() for r in group["tokens"].combine_chunks()]
+        size = np.array([int.from_bytes(k[12:], "big") for k in keys], np.float32)
+        tokens, column = np.unique(np.concatenate(lists), return_inverse=True)
+        owner = np.repeat(np.arange(len(lists)), list(map(len, lists)))
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        left, right = np.flatnonzero(first), np.arange(len(keys)) if first.all() else np.flatnonzero(~first)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, len(tokens), 4096):  # what the sets share, some tokens at a time
+            a, b = np.searchsorted(column, [start, start + 4096])
+            has = np.zeros((len(keys), min(4096, len(tokens) - start)), np.float32)
+            has[owner[a:b], column[a:b] - start] = 1
+            both += has[left] @ has[right].T
+        linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        parent = {c: c for c in comps}
+
+        def root(c: bytes) -> bytes:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out: list[list] = [[], []]
+        for x, y in zip(*np.nonzero(linked)):
+            one, other = root(comps[left[x]]), root(comps[right[y]])
+            if one != other:
+                parent[one] = other
+                out[0].append(keys[left[x]])
+                out[1].append(keys[right[y]])
+        return pa.table([pa.array(c, pa.binary()) for c in out], ["a", "b"])
+
+    return run
+
+
+def _in_blocks(member: DataFrame, records: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between components within the long lists ``member`` (token, key, comp, m)."""
+    dealt = member.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn(
+        "mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", "key", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        (F.col("mine") <= F.col("other")).alias("first"))
+    return placed.join(records.select("key", "tokens"), "key").groupBy("token", "i", "j").applyInArrow(
+        _compare_blocks(percent), "a binary, b binary")
+
+
+def _verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    left = records.select(F.col("key").alias("a"), F.col("tokens").alias("a_tokens"), F.col("others").alias("a_others"))
+    right = records.select(F.col("key").alias("b"), F.col("tokens").alias("b_tokens"), F.col("others").alias("b_others"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a binary, b binary")
+
+
+def _paired(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``key`` and ``pivot`` in different components, of sizes that may be similar."""
+    size, other = _size("key"), _size("pivot")
+    return pairs.where(
+        (F.col("comp") != F.col("pivot_comp")) & (100 * F.least(size, other) >= percent * F.greatest(size, other))
+    ).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+
+
 def _link(prefixes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the sets that are linked with another: one label per component."""
     spark = prefixes.sparkSession
     records = prefixes.select("key", "tokens", "others")
-    posting = prefixes.select(F.explode("first").alias("token"), "key")
+    posting = prefixes.select(F.explode("first").alias("token"), "key", "own")
     several = posting.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     lists = stored(posting.join(several, "token"), "postings")
     labels = spark.createDataFrame([], "node binary, label binary")
-    done = spark.createDataFrame([], "a binary, b binary")
-    pivots = 1
-    while True:
-        member = stored(lists.join(labels, F.col("key") == F.col("node"), "left").select(
-            "token", "key", F.coalesce("label", "key").alias("comp")), "members")
-        ends = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        active = stored(member.join(ends.where("low <> high").select("token"), "token"), "active")
+    for step in range(ROUNDS + 1):
+        pivots = 1 << step
+        member = lists.join(labels, F.col("key") == F.col("node"), "left").select(
+            "token", "key", "own", F.coalesce("label", "key").alias("comp"))
+        member = stored(member, "members")
+        ends = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
+        active = stored(member.join(ends.where("low <> high").select("token", "m"), "token"), "active")
+        dropped(member, lists)
         if not active.head(1):
             return labels
-        rank = F.xxhash64("key", F.lit(pivots))
-        chosen = stored(active.groupBy("token", F.pmod(rank, F.lit(pivots)).alias("slot")).agg(
-            F.min(F.struct(rank.alias("rank"), "key", "comp")).alias("p")).select(
-            "token", F.col("p.key").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "pivots")
-        size, other = _size("key"), _size("pivot")
-        pairs = active.join(chosen, "token").where(
-            (F.col("comp") != F.col("pivot_comp")) & (100 * F.least(size, other) >= percent * F.greatest(size, other))
-        ).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        left = records.select(F.col("key").alias("a"), F.col("tokens").alias("a_tokens"), F.col("others").alias("a_others"))
-        right = records.select(F.col("key").alias("b"), F.col("tokens").alias("b_tokens"), F.col("others").alias("b_others"))
-        links = stored(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a binary, b binary"), "links")
+        if step < ROUNDS:
+            rank = F.struct("own", F.xxhash64("key", F.lit(pivots)))
+            slot = F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(pivots)).alias("slot")
+            chosen = stored(active.groupBy("token", slot).agg(F.min(F.struct(rank.alias("rank"), "key", "comp")).alias("p")).select(
+                "token", F.col("p.key").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "pivots")
+            pairs = stored(_paired(active.join(chosen, "token"), percent), "pairs")
+            links = _verified(pairs, records, percent)
+        else:
+            short = active.where(F.col("m") <= SHORT_LIST)
+            again = short.select("token", F.col("key").alias("pivot"), F.col("comp").alias("pivot_comp"))
+            pairs = stored(_paired(short.join(again, "token").where("key < pivot"), percent), "pairs")
+            links = _verified(pairs, records, percent).unionByName(
+                _in_blocks(active.where(F.col("m") > SHORT_LIST), records, percent, BLOCK))
+        links = stored(links, "links")
         labels = merge_labels(labels, links)
-        done = done.unionByName(pairs)
-        lists = active.select("token", "key").join(
-            chosen.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti")
-        pivots *= 2
+        dropped(pairs, links)
+        if step < ROUNDS:
+            lists = stored(active.select("token", "key", "own").join(
+                chosen.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti"), "lists")
+            dropped(chosen)
+        dropped(active)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -301,22 +334,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     rows of their own; a null id is reached but never names a component unless all ids in it are null.
     Other columns play no part. Tokens are 64-bit hashes of the shingles.
     """
-    spark = docs.sparkSession
-    sets = stored(_sets(docs, id, text, width), "sets")
-    rows = sets.where(F.col("key").isNotNull()).select("id", "key", "n")
-    total, tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
-    # At most 2 / HEAVY times the mean size of a set are heavy: each is in HEAVY / 2 of all sets.
-    heavy = sets.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")).where(
-        F.col("times") >= max(HEAVY_LEAST, HEAVY / 2 * total)).select("token")
-    frequent = np.sort(np.array([r[0] for r in heavy.collect()], np.int64).view(np.uint64))
-    ranges = 1 << max(0, (tokens // RANGE_TOKENS).bit_length())
-    chunks = _chunks(docs, text, width, ranges, spark.sparkContext.broadcast(frequent))
-    shared = chunks.groupBy("range").applyInArrow(_count_range, SHARED)
-    per_set = shared.groupBy("key").agg(
-        F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("times")).alias("times")).where(
-        100 * F.size("tokens") >= percent * _size("key"))
-    prefixes = stored(per_set.mapInArrow(
-        _prefixes(percent), "key binary, tokens array<bigint>, first array<bigint>, others array<bigint>"), "prefixes")
+    rows = stored(_sets(docs, id, text, width), "sets")
+    tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    tables = docs.sparkSession.sparkContext.broadcast(token_levels(docs, text, width, tokens))
+    prefixes = stored(_prefixes(docs, text, width, percent, tables), "prefixes")
     labels = _link(prefixes, percent)
     named = stored(rows.where("n > 0").join(labels, F.col("key") == F.col("node"), "left").select(
         "id", "n", F.coalesce("label", "key").alias("comp")), "named")
