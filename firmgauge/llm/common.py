@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,39 @@ def dropped(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows up to which a list of rows or keys is broadcast; beyond, it is joined by a shuffle.
+SENT = 1_000_000
+
+
+def sent(df: DataFrame, most: int = SENT) -> DataFrame:
+    """A stored list, with the wish to be broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def on_files(docs: DataFrame) -> DataFrame:
+    """``docs``, written to the shared folder first if it isn't read from files."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return stored(docs, "located")
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` (``on_files``) with the place of each row, (hash of its file, number in it), and the names of these columns."""
+    file, row = fresh(docs, "place_file", "place_row")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), file, row
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (as ``located`` gives it) without the rows at the places ``gone``, and without the places.
+
+    ``gone`` names the places as ``docs`` does. Only it is sent around if it is short.
+    """
+    places = stored(gone, "gone")
+    return docs.join(sent(places), places.columns, "left_anti").drop(*places.columns)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

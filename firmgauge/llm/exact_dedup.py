@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmgauge.llm.common import fresh, shared_folder, stored
+from firmgauge.llm.common import located, on_files, sent, shared_folder, stored, without_rows
 
 #: How the stream keeps its state: on each executor's disk with bounded memory, saved to the shared folder.
 STATE = {
@@ -95,10 +95,12 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text",
         return narrow.select("id", "digest", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"),
                              F.lit(True).alias("kept"), "file", "row")
     found = run_stream(f"{base}/records", narrow, f"{base}/state", bytes_per_batch)
-    # Full bytes of every hit: rows combine per task, so one text per digest and task is shuffled.
+    # Full bytes of every hit, that is of digests the state has seen twice: rows combine per task, so one text per
+    # digest and task is shuffled.
+    hits = stored(found.where("n > 1").select("digest"), "hits")
     differ = stored(
-        rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high"))
-        .where((F.col("n") > 1) & (F.col("low") != F.col("high"))).select("digest"), "collisions",
+        rows.join(sent(hits), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+        .where(F.col("low") != F.col("high")).select("digest"), "collisions",
     )
     stays = found.select("digest", F.col("n").alias("group_size"), F.col("id").alias("keep_id"),
                          F.col("file").alias("keep_file"), F.col("row").alias("keep_row"))
@@ -123,11 +125,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
     The rule is that of ``exact_groups``; null ids and repeated ids are told apart by the locator.
     """
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        docs = stored(docs, "located")
-    file, row, stay_file, stay_row = fresh(docs, "stay_file", "stay_row", "kept_file", "kept_row")
-    stay = exact_groups(docs, id, text).where("kept").select(F.col("file").alias(stay_file), F.col("row").alias(stay_row))
-    placed = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
-    return placed.join(stay, (F.col(file) == F.col(stay_file)) & (F.col(row) == F.col(stay_row)), "left_semi").select(*docs.columns)
+    docs = on_files(docs)
+    placed, file, row = located(docs)
+    gone = exact_groups(docs, id, text).where(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row))
+    return without_rows(placed, gone)
