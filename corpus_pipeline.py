@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmgauge.llm import bpe, exact_dedup, jaccard, mixing, quality, queries
-from firmgauge.llm.common import stored, table
+from firmgauge.llm.common import located, on_files, sent, stored, table, without_rows
 
 #: Nearly all tokens are taken once: a source loses documents only where its weight asks for less than it has.
 MIX = mixing.Mix(budget=0.95, epochs=1, weights={"lang": {"en": 4.0, "de": 1.0, "fr": 1.0, "es": 1.0}})
@@ -33,14 +33,17 @@ def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id go together; a row without an id stays.
     """
-    found = jaccard.near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = stored(jaccard.near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near")
+    return docs.join(sent(found), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the budgets of domain, language and source take; with one epoch each at most once."""
-    taken = mixing.mix_documents(queries.with_domain(packed(docs)), ["domain", "lang", "source"], MIX, keep=["row"])
-    return taken.where("copies > 0").select("row.*")
+    placed, file, row = located(on_files(docs))
+    # Only the places of the documents go through the operator, not their texts.
+    narrow = placed.select(F.struct(file, row).alias("row"), "doc_id", "text", "lang", "source")
+    taken = mixing.mix_documents(queries.with_domain(narrow), ["domain", "lang", "source"], MIX, keep=["row"])
+    return without_rows(placed, taken.where("copies = 0").select("row.*"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
