@@ -42,13 +42,13 @@ from firmgauge.llm.components import merge_labels
 BYTES_AT_ONCE = 4_000_000
 #: Tokens in one hash range; the number of ranges follows from it.
 RANGE_TOKENS = 4_000_000
-#: {number of sets: bits of the table of tokens in that many sets, as a power of two}; 24 MB together.
-LEVELS = {2: 27, 4: 25, 8: 24, 16: 23, 32: 22, 64: 21, 256: 20}
+#: {number of sets: bits of the table of tokens in that many sets, as a power of two}; 12 MB together.
+LEVELS = {2: 26, 4: 24, 8: 23, 16: 22, 32: 21, 64: 20, 256: 19}
 #: Bits that are kept of a token to count it.
 SHORT = 48
 ORDERS = 3
-#: Rounds of pivots; sets of a list that is still open then and is dealt in blocks of so many sets.
-ROUNDS, SHORT_LIST, BLOCK = 3, 48, 1024
+#: Rounds of pivots; sets of a list that is still open then and is dealt in blocks; sets and tokens of a block.
+ROUNDS, SHORT_LIST, BLOCK, BLOCK_TOKENS = 2, 48, 1024, 250_000
 
 
 def shingles(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -143,7 +143,7 @@ def token_levels(docs: DataFrame, text: str, width: int, tokens: int) -> dict[in
     rows = places.groupBy("level", F.bitmap_bucket_number(F.col("place") + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits"))
     tables = {least: np.zeros(max(1, 1 << bits >> 3), np.uint8) for least, bits in LEVELS.items()}
-    for r in rows.toLocalIterator():  # a row for 32768 bits of a table
+    for r in rows.coalesce(4).toLocalIterator():  # a row for 32768 bits of a table
         start = (r["bucket"] - 1) * 4096
         tables[r["level"]][start:start + 4096] = np.frombuffer(r["bits"], np.uint8)
     return tables
@@ -257,9 +257,12 @@ def _compare_blocks(percent: int):
     return run
 
 
-def _in_blocks(member: DataFrame, records: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between components within the long lists ``member`` (token, key, comp, m)."""
-    dealt = member.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn(
+def _in_blocks(member: DataFrame, records: DataFrame, percent: int, block: int, tokens: int) -> DataFrame:
+    """Links (a, b) between components within the long lists ``member`` (token, key, comp, m, load).
+
+    ``m`` and ``load`` are the sets of a list and their tokens; blocks have about ``block`` sets or ``tokens`` tokens.
+    """
+    dealt = member.withColumn("blocks", F.ceil(F.greatest(F.col("m") / block, F.col("load") / tokens)).cast("int")).withColumn(
         "mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", "key", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
@@ -295,8 +298,9 @@ def _link(prefixes: DataFrame, percent: int) -> DataFrame:
         member = lists.join(labels, F.col("key") == F.col("node"), "left").select(
             "token", "key", "own", F.coalesce("label", "key").alias("comp"))
         member = stored(member, "members")
-        ends = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
-        active = stored(member.join(ends.where("low <> high").select("token", "m"), "token"), "active")
+        ends = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"),
+                                           F.sum(_size("key")).alias("load"))
+        active = stored(member.join(ends.where("low <> high").select("token", "m", "load"), "token"), "active")
         dropped(member, lists)
         if not active.head(1):
             return labels
@@ -312,7 +316,7 @@ def _link(prefixes: DataFrame, percent: int) -> DataFrame:
             again = short.select("token", F.col("key").alias("pivot"), F.col("comp").alias("pivot_comp"))
             pairs = stored(_paired(short.join(again, "token").where("key < pivot"), percent), "pairs")
             links = _verified(pairs, records, percent).unionByName(
-                _in_blocks(active.where(F.col("m") > SHORT_LIST), records, percent, BLOCK))
+                _in_blocks(active.where(F.col("m") > SHORT_LIST), records, percent, BLOCK, BLOCK_TOKENS))
         links = stored(links, "links")
         labels = merge_labels(labels, links)
         dropped(pairs, links)
@@ -338,6 +342,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     tables = docs.sparkSession.sparkContext.broadcast(token_levels(docs, text, width, tokens))
     prefixes = stored(_prefixes(docs, text, width, percent, tables), "prefixes")
+    tables.destroy()
     labels = _link(prefixes, percent)
     named = stored(rows.where("n > 0").join(labels, F.col("key") == F.col("node"), "left").select(
         "id", "n", F.coalesce("label", "key").alias("comp")), "named")
