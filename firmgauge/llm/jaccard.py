@@ -18,8 +18,8 @@ in front and drop out. A pair is a candidate only if it shares a prefix token un
    their own, as the text that others are copies of. Pivots were compared with the whole list and leave it; the
    number of pivots doubles from round to round. A list is done when one component has all of it.
 5. What several components still have is settled at once: pairs of lists of up to ``SHORT_LIST`` sets as before,
-   longer lists in blocks. Each pair of blocks counts what its sets share as a product of matrices in one task,
-   and sends back no pairs but a forest of the links between components.
+   longer lists in blocks. Each pair of blocks counts what its sets share by bit vectors in one task, and
+   sends back no pairs but a forest of the links between components.
 
 No partner is lost: a pair is left out only if both sets are in one component already.
 """
@@ -222,36 +222,26 @@ def _compare_blocks(percent: int):
     """Group function: links between components among the sets of one or two blocks, as a forest."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys, comps, first = group["key"].to_pylist(), group["comp"].to_pylist(), group["first"].to_numpy()
+        keys, first = group["key"].to_pylist(), group["first"].to_numpy()
         lists = [r.values.to_numpy() for r in group["tokens"].combine_chunks()]
-        size = np.array([int.from_bytes(k[12:], "big") for k in keys], np.float32)
-        tokens, column = np.unique(np.concatenate(lists), return_inverse=True)
+        size = np.array([int.from_bytes(k[12:], "big") for k in keys], np.int64)
+        _, comp = np.unique(np.array([c.hex() for c in group["comp"].to_pylist()]), return_inverse=True)
+        _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(lists)), list(map(len, lists)))
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        left, right = np.flatnonzero(first), np.arange(len(keys)) if first.all() else np.flatnonzero(~first)
-        both = np.zeros((len(left), len(right)), np.float32)
-        for start in range(0, len(tokens), 4096):  # what the sets share, some tokens at a time
-            a, b = np.searchsorted(column, [start, start + 4096])
-            has = np.zeros((len(keys), min(4096, len(tokens) - start)), np.float32)
-            has[owner[a:b], column[a:b] - start] = 1
-            both += has[left] @ has[right].T
-        linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-        parent = {c: c for c in comps}
-
-        def root(c: bytes) -> bytes:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
+        shared = times[column] > 1  # one bit for each token that several sets of the blocks have
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        bits = np.zeros((len(keys), (int(column.max(initial=0)) >> 6) + 1), np.uint64)
+        np.bitwise_or.at(bits, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+        right = np.arange(len(keys)) if first.all() else np.flatnonzero(~first)
         out: list[list] = [[], []]
-        for x, y in zip(*np.nonzero(linked)):
-            one, other = root(comps[left[x]]), root(comps[right[y]])
-            if one != other:
-                parent[one] = other
-                out[0].append(keys[left[x]])
-                out[1].append(keys[right[y]])
+        for x in np.flatnonzero(first):
+            y = right[comp[right] != comp[x]]
+            both = np.bitwise_count(bits[y] & bits[x]).sum(1, dtype=np.int64)
+            for other in y[100 * both >= percent * (size[x] + size[y] - both)]:
+                if comp[other] != comp[x]:
+                    comp[comp == comp[other]] = comp[x]
+                    out[0].append(keys[x])
+                    out[1].append(keys[other])
         return pa.table([pa.array(c, pa.binary()) for c in out], ["a", "b"])
 
     return run
