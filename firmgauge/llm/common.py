@@ -84,6 +84,12 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(sent(places), places.columns, "left_anti").drop(*places.columns)
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; at their end the task's worker, which waits for further tasks, gives free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmgauge.llm.common import dropped, packed, slices, split_words, stored, unpacked
+from firmgauge.llm.common import dropped, lean, packed, slices, split_words, stored, unpacked
 from firmgauge.llm.components import merge_labels
 
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 2_000_000
 #: Tokens in one hash range; the number of ranges follows from it.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 1_500_000
 #: {number of sets: bits of the table of tokens in that many sets, as a power of two}; 12 MB together.
 LEVELS = {2: 26, 4: 24, 8: 23, 16: 22, 32: 21, 64: 20, 256: 19}
 #: Bits that are kept of a token to count it.
@@ -90,7 +90,7 @@ def _sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
     plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in lean(rows):
             for part in slices(batch, 1, BYTES_AT_ONCE):
                 sets = shingles(part.column(1), width)
                 yield pa.RecordBatch.from_arrays([
@@ -111,7 +111,7 @@ def _token_counts(docs: DataFrame, text: str, width: int, ranges: int) -> DataFr
     shift = SHORT - ranges.bit_length() + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in lean(rows):
             for part in slices(batch, 0, BYTES_AT_ONCE):
                 sets = list({s.tobytes(): s for s in shingles(part.column(0), width) if len(s)}.values())
                 if not sets:
@@ -175,7 +175,7 @@ def _prefixes(docs: DataFrame, text: str, width: int, percent: int, tables) -> D
     prefix of the first order without tokens of this set alone, ``others`` those of the other orders.
     """
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in lean(rows):
             for part in slices(batch, 0, BYTES_AT_ONCE):
                 out: list[list] = [[], [], [], [], []]
                 for key, s in {set_key(s): s for s in shingles(part.column(0), width) if len(s)}.items():
