@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 
@@ -41,6 +42,53 @@ def test_findings_filters_and_maxima(spark, rows, month):
     assert rows(scans.entities_with_vulntype(rich, ["010"])) == [(10,), (11,)]
 
 
+def _shared_ips(spark):
+    """Months, IPs shared by many companies, companies with many IPs, repeats, null keys, types without or with two references."""
+    rng = random.Random(3)
+    days = [dt.date(2018, 6, 1), dt.date(2018, 7, 1), dt.date(2018, 8, 1)]
+    ip = lambda: rng.choice([None, 1, 1, 1, *range(12)])
+    found = [(rng.choice(days), ip(), rng.choice([None, *"aaaabcdefgh"]), float(rng.randrange(6)), rng.choice([None, 1.0, 2.5]), 80)
+             for _ in range(900)]
+    owners = [(rng.choice(days[:2]), rng.choice([None, 7, 7, *range(40)]), ip(), "x") for _ in range(500)]
+    ref = [("a", "A", 1.0, "010"), ("a", "A", 1.0, "010"), ("b", "B", None, "020"), ("c", None, 2.0, None), (None, "N", 1.0, "010"), ("z", "Z", 1.0, "010")]
+    found, owners = spark.createDataFrame(found, SCAN), spark.createDataFrame(owners, MAP)
+    return found, owners, spark.createDataFrame(ref, "nvt_oid string, nvt_name string, cvss double, vulntype string")
+
+
+@pytest.mark.parametrize("cell", [400, 10**9])
+def test_findings_of_shared_ips(spark, rows, month, monkeypatch, cell):
+    """Cells and the plain join give what plain sets give, with and without reference data."""
+    monkeypatch.setattr(scans, "CELL_ROWS", cell)
+    found, owners, ref = _shared_ips(spark)
+    best, hits = {}, found.collect()
+    for o in owners.distinct().collect():
+        for h in hits if o["ip_dec"] not in (None, 2) else []:
+            if h["scan_month"] == o["run_date"] and h["ip"] == o["ip_dec"] and h["severity"] > 0:
+                s, c = best.get((h["scan_month"], o["entity_id"], h["nvt_oid"]), (0.0, None))
+                c = h["cvss"] if c is None else c if h["cvss"] is None else max(c, h["cvss"])
+                best[h["scan_month"], o["entity_id"], h["nvt_oid"]] = (max(s, h["severity"]), c)
+    order = lambda lines: sorted(lines, key=lambda r: tuple((x is None, str(x)) for x in r))
+    months = scans.scan_findings(found, owners, None, blocked=[2])
+    assert months.columns == ["scan_month", "entity_id", "nvt_oid", "severity", "cvss"]
+    assert rows(months) == order([(*k, *v) for k, v in best.items()])
+    one = scans.scan_findings(found, owners, month(7), blocked=[2])
+    assert rows(one) == order([(*k[1:], *v) for k, v in best.items() if k[0] == month(7)])
+    rich, want = scans.scan_findings(found, owners, month(7), blocked=[2], vuln_ref=ref), scans.enrich(one, ref)
+    assert rich.schema.names == want.schema.names and rows(rich) == rows(want)
+
+
+def test_joined_findings_are_not_shuffled(spark, month, monkeypatch):
+    """By IP the join is the result; for companies only inputs go to the cells."""
+    monkeypatch.setattr(scans, "CELL_ROWS", 400)
+    found, owners, ref = _shared_ips(spark)
+    for made in (scans.scan_findings(found, owners, month(7)), scans.scan_findings(found, owners, month(7), vuln_ref=ref)):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        top = text[:text.index("Exchange")]
+        assert "explode(owners" in top and "shufflepartitionidpassthrough" in text
+    by_ip = scans.scan_findings(found, owners, month(7), by_ip=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in by_ip[:by_ip.index("Join")]
+
+
 def test_company_sample_keeps_lowest_id_of_repeats(spark, rows):
     df = spark.createDataFrame(
         [(1, "S", 5, 9.0), (2, "S", 5, 9.0), (3, "S", 6, 9.0), (4, "S", 5, 1.0), (5, "T", 5, 9.0), (6, "T", 5, None)],
