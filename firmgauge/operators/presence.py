@@ -1,8 +1,9 @@
 """Stored extracts of who uses whom: exact bitmaps of entities per key, period and bucket of ids.
 
-A bucket holds 32,768 successive entity ids, one bit each, so counts of entities become counts of bits, and a parent
-or a longer window is an OR of stored bitmaps: the edges are read once per period, when its extract is
-written. A provider with very many entities has as many rows as its ids have buckets.
+A bucket holds 64 successive entity ids, one bit each of a whole number, so counts of entities become counts of
+bits, and a parent or a longer window is an OR of stored bitmaps: the edges are read once per period, when its
+extract is written. A provider with very many entities has as many rows as its ids have buckets; one whose
+entities lie far apart has never more rows than edges, and a row is small.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from firmgauge.sources.writers import write_partitioned
 
 def presence(edges: DataFrame, key: str = "agg_id") -> DataFrame:
     """(key, run_date, bucket, bits): the entities of each key and period; ids are whole numbers."""
-    return edges.filter(F.col("entity_id").isNotNull()).groupBy(
-        key, "run_date", F.bitmap_bucket_number("entity_id").alias("bucket")
-    ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("entity_id")).alias("bits"))
+    ids = edges.select(key, "run_date", F.col("entity_id").cast("long").alias("id")).filter(F.col("id").isNotNull())
+    bit = F.expr("shiftleft(1L, cast(pmod(id, 64) as int))")
+    return ids.groupBy(key, "run_date", F.shiftright("id", 6).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def store_presence(edges: DataFrame, folder: str, key: str = "agg_id") -> str:
@@ -35,17 +36,17 @@ def store_presence(edges: DataFrame, folder: str, key: str = "agg_id") -> str:
 def presence_of_parents(bitmaps: DataFrame, provider_dim: DataFrame, parent_dim: DataFrame) -> DataFrame:
     """The bitmaps of parents from those of their providers; an entity on several of them is one bit."""
     return with_parent(bitmaps, provider_dim, parent_dim).groupBy("parent_agg_id", "run_date", "bucket").agg(
-        F.bitmap_or_agg("bits").alias("bits"))
+        F.bit_or("bits").alias("bits"))
 
 
 def presence_in_window(bitmaps: DataFrame, start: dt.date, end: dt.date, key: str = "agg_id") -> DataFrame:
     """One bitmap per key and bucket of the entities present in any period from ``start`` to ``end``."""
-    return in_periods(bitmaps, start, end).groupBy(key, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return in_periods(bitmaps, start, end).groupBy(key, "bucket").agg(F.bit_or("bits").alias("bits"))
 
 
 def coverage(bitmaps: DataFrame, keys: Sequence[str] = ("agg_id", "run_date")) -> DataFrame:
     """Number of entities per key (and period)."""
-    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias("num_entities"))
+    return bitmaps.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("num_entities"))
 
 
 def stability_of_cohort(
@@ -59,17 +60,11 @@ def stability_of_cohort(
     """
     periods = list(periods)
     first = (bitmaps if cohort is None else cohort).filter(F.col("run_date") == periods[0])
-    members = first.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("members"))
+    members = first.groupBy("bucket").agg(F.bit_or("bits").alias("members"))
     rows = bitmaps.filter(F.col("run_date").isin(*periods)).groupBy(key, "bucket").agg(
-        F.bitmap_or_agg("bits").alias("any"), F.bitmap_and_agg("bits").alias("all"), F.count(F.lit(1)).alias("n"))
-    # The AND of two columns is the AND over a row of each.
-    wanted = rows.join(members, "bucket")
-    sides = wanted.select(key, "bucket", F.explode(F.array(
-        F.struct(F.lit("any").alias("kind"), F.col("any").alias("bits")), F.struct(F.lit("any").alias("kind"), F.col("members").alias("bits")),
-        F.struct(F.lit("all").alias("kind"), F.when(F.col("n") == len(periods), F.col("all")).alias("bits")),
-        F.struct(F.lit("all").alias("kind"), F.when(F.col("n") == len(periods), F.col("members")).alias("bits")))).alias("side"))
-    cut = sides.select(key, "bucket", "side.*").filter(F.col("bits").isNotNull()).groupBy(key, "bucket", "kind").agg(
-        F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"))
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
-    return cut.groupBy(key).agg(of("any").alias("total_entities"), of("all").alias("stable_entities")).filter(
+        F.bit_or("bits").alias("any"), F.bit_and("bits").alias("all"), F.count(F.lit(1)).alias("n"))
+    of = lambda bits: F.bit_count(F.col(bits).bitwiseAND(F.col("members")))
+    stable = F.when(F.col("n") == len(periods), of("all")).otherwise(0)
+    return rows.join(members, "bucket").groupBy(key).agg(
+        F.sum(of("any")).alias("total_entities"), F.sum(stable).alias("stable_entities")).filter(
         F.col("total_entities") > 0).withColumn("stability", share("stable_entities", "total_entities"))

@@ -182,6 +182,16 @@ def test_bitmaps_count_as_sets_do(spark, month):
         assert table[g] == (len(set.union(*sets)), len(set.intersection(*sets)))
 
 
+def test_bitmaps_of_scattered_entities_are_small(spark, month):
+    """Entities far apart: no more rows than edges, of a few bytes each; ids below zero count too."""
+    data = [(month(1), e * 1_000_003 - 5_000_000, 0, 1) for e in range(200)]
+    bits = presence.presence(spark.createDataFrame(data + data, EDGE))
+    assert bits.count() == 200 and dict(bits.dtypes)["bits"] == "bigint"
+    assert [r["num_entities"] for r in presence.coverage(bits).collect()] == [200]
+    dense = presence.presence(spark.createDataFrame([(month(1), e, 0, 1) for e in range(-64, 128)], EDGE))
+    assert dense.count() == 3 and presence.coverage(dense).first()["num_entities"] == 192
+
+
 def test_shifted_map_is_joined_on_entity_only(spark, rows, month):
     edges = spark.createDataFrame([(month(5), 1, 0, 7), (month(6), 1, 0, 7), (month(6), 2, 0, 7)], EDGE)
     first = spark.createDataFrame(
