@@ -287,3 +287,26 @@ def test_scores_of_odd_rows(spark):
     only_held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
     untrained = lm.score(spark.createDataFrame([(i, "a b") for i in only_held], "doc_id long, text string")).collect()
     assert len(untrained) == len(only_held) and all(r["score"] == 0 and r["base_score"] == 0 for r in untrained)
+
+
+def test_every_previous_word_has_a_restaurant(spark, monkeypatch):
+    """No word is frequent here: two words of one class are still told apart, in one row of a bucket and in many."""
+    monkeypatch.setattr(lm, "FREQUENT", 1)
+    rows = [(i, "xab one" if i % 2 else "yab two") for i in range(600)]
+    asked = [("xab", "one"), ("xab", "two"), ("yab", "one"), ("yab", "two"), ("zab", "one"), ("zab", "two")]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 1][:len(asked)]
+    docs = spark.createDataFrame(rows + [(i, " ".join(w)) for i, w in zip(held, asked)], "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in lm.score(docs).collect()}
+    p = {w: got[i] for i, w in zip(held, asked)}
+    assert p["xab", "one"] > p["xab", "two"] + 1 and p["yab", "two"] > p["yab", "one"] + 1
+    assert abs(p["zab", "one"] - p["zab", "two"]) < 0.3  # an unseen word has its class only
+    monkeypatch.setattr(lm, "ROW_TOKENS", 40)
+    for r in lm.score(docs.repartition(5)).collect():
+        assert math.isclose(r["score"], got[r["id"]], rel_tol=1e-6)
+
+
+def test_one_table_each_adds_up_to_one():
+    rng = np.random.default_rng(3)
+    parent, seen = rng.dirichlet(np.ones(50)), np.where(rng.random(50) < 0.3, rng.integers(1, 9, 50), 0)
+    p = lm.one_table_each(parent, seen, np.full(50, (seen > 0).sum()), np.full(50, seen.sum()), 0.85, 10.0)
+    assert math.isclose(p.sum(), 1, rel_tol=1e-12)
