@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmgauge.llm.common import fresh, pick
+from firmgauge.llm.common import fresh, give_back, lean, pick
 
 #: A task forgets its known words when there are more, between two batches of rows.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: Bytes of text, or of ids, that a task works on at once (one long row may exceed it).
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 2_000_000
 NONE = np.int32(2**31 - 1)
 #: Single spaces between other characters.
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -271,6 +271,7 @@ _KEPT: dict[tuple, object] = {}
 def _kept(key: tuple, make):
     if key not in _KEPT:
         _KEPT.clear()
+        give_back()  # what the worker has left from other stages
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -280,10 +281,13 @@ def read_lines(path: str) -> bytes:
         return f.read()
 
 
-def _spread(rows: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
-    """The columns of each batch, the last one replaced by what ``make`` gives for it, in bounded pieces."""
+def _spread(rows: Iterator[pa.RecordBatch], make, source: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The columns of each batch and what ``make`` gives for one of them, in bounded pieces.
+
+    It is made from the column ``source``, which stays, or takes the place of the last one.
+    """
     for batch in rows:
-        last = batch.column(batch.num_columns - 1)
+        last = batch.column(batch.num_columns - 1 if source is None else source)
         sizes = pc.list_value_length(last) if pa.types.is_list(last.type) else pc.binary_length(last)
         width = last.type.value_type.bit_width // 8 if pa.types.is_list(last.type) else 1
         ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * width)
@@ -292,19 +296,18 @@ def _spread(rows: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
             done = ends[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(ends, done + BYTES_AT_ONCE, side="right")))
             part = batch.slice(at, end - at)
-            yield _piece(part, list(make(part.column(part.num_columns - 1))))
+            columns, names = (part.columns[:-1], part.schema.names[:-1]) if source is None else (part.columns, part.schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, _column(list(make(last.slice(at, end - at))))], [*names, "made"])
             at = end
 
 
-def _piece(batch: pa.RecordBatch, made: list[np.ndarray]) -> pa.RecordBatch:
+def _column(made: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])])
     flat = np.concatenate(made)
     if flat.dtype == np.uint8:
-        column = pa.Array.from_buffers(
+        return pa.Array.from_buffers(
             pa.binary(), len(made), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
-    else:
-        column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-    return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*batch.schema.names[:-1], "made"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def encode(docs: DataFrame, lines: bytes, pattern: str, text: str = "text", keep: list[str] | None = None,
@@ -318,16 +321,18 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, text: str = "text", keep
     """
     shared = docs.sparkSession.sparkContext.broadcast(lines)
     keep = docs.columns if keep is None else keep
-    (source,) = fresh(docs.select(*keep), "encoded_text")
-    plain = docs.select(*keep, F.col(text).alias(source))
+    # A text that stays is sent to the workers once.
+    source = keep.index(text) if text in keep else None
+    plain = docs.select(*keep) if source is not None else docs.select(*keep, F.col(text).alias(*fresh(docs.select(*keep), "encoded_text")))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (hash(shared.value), pattern, apart_at_spaces)
         encoder = _kept(key, lambda: Encoder(Vocabulary(shared.value), pattern, apart_at_spaces))
-        for piece in _spread(rows, encoder.encode):
+        for piece in lean(_spread(rows, encoder.encode, source)):
             yield piece.rename_columns([*piece.schema.names[:-1], output])
 
-    schema = T.StructType([*plain.schema.fields[:-1], T.StructField(output, T.ArrayType(T.IntegerType(), False))])
+    kept = plain.schema.fields[:-1] if source is None else plain.schema.fields
+    schema = T.StructType([*kept, T.StructField(output, T.ArrayType(T.IntegerType(), False))])
     return plain.mapInArrow(run, schema)
 
 
@@ -352,7 +357,7 @@ def decode(tokens: DataFrame, lines: bytes, ids: str = "ids", keep: list[str] |
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _kept((hash(shared.value),), lambda: Vocabulary(shared.value))
-        for piece in _spread(rows, lambda column: pieces(column, v)):
+        for piece in lean(_spread(rows, lambda column: pieces(column, v))):
             yield piece.rename_columns([*piece.schema.names[:-1], output])
 
     schema = T.StructType([*plain.schema.fields[:-1], T.StructField(output, T.BinaryType())])

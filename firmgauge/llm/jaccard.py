@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmgauge.llm.common import dropped, lean, packed, slices, split_words, stored, unpacked
+from firmgauge.llm.common import dropped, give_back, lean, packed, slices, split_words, stored, unpacked
 from firmgauge.llm.components import merge_labels
 
 BYTES_AT_ONCE = 2_000_000
@@ -127,6 +127,7 @@ def _token_counts(docs: DataFrame, text: str, width: int, ranges: int) -> DataFr
 
 def _levels_of_range(group: pa.Table) -> pa.Table:
     """(level, place) of the tokens of one range: places of the bits to set in the table of each level."""
+    give_back()
     token = np.concatenate([np.cumsum(unpacked(t, np.int64)) for t in group["tokens"].to_pylist()])
     times = np.concatenate([unpacked(t, np.uint8) for t in group["times"].to_pylist()])
     token, at = np.unique(token, return_inverse=True)
@@ -199,7 +200,7 @@ def _verify(percent: int):
     """Pairs with both sides' tokens and further prefixes to the linked pairs."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in lean(rows):
             get = lambda name, i: batch.column(name)[i].values.to_numpy().view(np.uint64)
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             linked = []

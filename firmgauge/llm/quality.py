@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmgauge.llm.common import contiguous, fresh, slices, split_words, stored
+from firmgauge.llm.common import contiguous, fresh, lean, slices, split_words, stored
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -102,7 +102,7 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     plain = docs.select(*keep, F.col(text).alias(source))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in lean(rows):
             for part in slices(batch, batch.num_columns - 1, BYTES_AT_ONCE):
                 made = counts(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,8 @@
 """The stages, each against a brute-force version on what the one before it kept."""
 
+import subprocess
+import sys
+
 import corpus_pipeline
 import pytest
 from firmgauge.llm.common import stored
@@ -45,3 +48,25 @@ def test_stages_on_odd_rows(spark, rows):
 def test_run_is_the_stages_in_order(spark):
     one = corpus_pipeline.run(spark, DATA).select("doc_id", "ids").collect()
     assert one and len({r.doc_id for r in one}) == len(one)
+
+
+HELD_MEMORY = """
+import numpy as np, psutil
+from firmgauge.llm.common import lean
+held = lambda: psutil.Process().memory_info().rss >> 20
+def work():
+    rows = [np.ones(5000) for _ in range(5000)]  # 200 MB in pieces that the C library keeps when they are freed
+    last = np.ones(5000)
+    del rows
+    return last
+steps = lean([1, 2])
+next(steps)
+before, last = held(), work()
+next(steps)
+print(held() - before)
+"""
+
+
+def test_workers_give_memory_back_between_batches():
+    out = subprocess.run([sys.executable, "-c", HELD_MEMORY], capture_output=True, text=True, check=True, cwd=corpus_pipeline.__file__.rsplit("/", 1)[0])
+    assert int(out.stdout) < 50
