@@ -79,21 +79,23 @@ def shifted_ip_churn(
     """New and disappeared IPs of the entities of a provider, through an IP map of earlier periods.
 
     The map is moved ``shift_months`` forward and joined on the entity alone. Entities with the same
-    providers are one class, so the join has one row per map row, whatever the number of an entity's providers;
-    map rows are then counted by (class, IP), and only these counts are multiplied by the
-    providers of a class. A provider's count of an IP adds up over its classes, as an entity has one class.
+    providers are one class, named by its smallest entity, so the join has one narrow row per map row, whatever the
+    number of an entity's providers; map rows are then counted by (class, IP), and only these counts meet the
+    lists of providers. A provider's count of an IP adds up over its classes, as an entity has one class.
     """
     users = _of_outliers(in_periods(edges, start=previous), outliers)
     lists = users.groupBy("entity_id").agg(F.sort_array(F.collect_set("agg_id")).alias("providers"))
-    classes = lists.select("entity_id", "providers", F.xxhash64("providers").alias("class"))
+    lists = lists.filter(F.col("entity_id").isNotNull())
+    classes = lists.groupBy("providers").agg(F.min("entity_id").alias("class"))
+    named = lists.join(classes, "providers").select("entity_id", "class")
     moved = ip_map.select(F.add_months("run_date", shift_months).alias("run_date"), "entity_id", "ip_dec").filter(
         F.col("run_date").isin(previous, latest))
     # A map row may be repeated: one row per IP and entity, with a flag for each period.
     seen = lambda day: F.max(flag(F.col("run_date") == day))
     once = moved.groupBy("entity_id", "ip_dec").agg(seen(previous).alias("before"), seen(latest).alias("after"))
-    counted = once.join(classes.select("entity_id", "class", "providers"), "entity_id").groupBy("class", "providers", "ip_dec").agg(
+    counted = once.join(named, "entity_id").groupBy("class", "ip_dec").agg(
         F.sum("before").alias("before"), F.sum("after").alias("after"))
-    counts = counted.select(F.explode("providers").alias("agg_id"), "ip_dec", "before", "after").groupBy("agg_id", "ip_dec").agg(
+    counts = counted.join(classes, "class").select(F.explode("providers").alias("agg_id"), "ip_dec", "before", "after").groupBy("agg_id", "ip_dec").agg(
         F.sum("before").alias("n_previous"), F.sum("after").alias("n_latest"))
     new, gone = _new(min_entities), _gone(min_entities)
     kind = F.when(new, "new IPs").otherwise("disappeared IPs").alias("type")

@@ -166,6 +166,15 @@ def test_shifted_counts_by_class_match_the_plain_join(spark, month):
     assert sorted(map(tuple, got.select("outlier_agg_id", "ip_dec", "n_entities", "type").collect())) == sorted(want)
 
 
+def test_map_rows_do_not_carry_lists_of_providers(spark, month):
+    """Of the rows that are shuffled by IP none has a list."""
+    ip_map = spark.createDataFrame([(month(4), 1, 50)], "run_date date, entity_id long, ip_dec long")
+    edges = spark.createDataFrame([(month(5), 1, 0, 7)], EDGE)
+    plan = churn.shifted_ip_churn(edges, ip_map, outliers(spark, 7), month(5), month(6), 1, 1)._jdf.queryExecution().executedPlan().toString()
+    by_ip = [line for line in plan.splitlines() if "hashpartitioning(" in line and "ip_dec" in line]
+    assert by_ip and not any("providers" in line for line in by_ip)
+
+
 def test_bitmaps_count_as_sets_do(spark, month):
     """Ids over several buckets, members of several providers, a cohort that part of them is not in."""
     rng = random.Random(1)
