@@ -1,13 +1,16 @@
 import datetime as dt
 import math
 import random
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firmgauge.operators import outliers, ranking, reconstruction, scans
+from firmgauge.operators import cells, outliers, ranking, reconstruction, scans
 from firmgauge.operators.scale import BROADCAST_ROWS
+from firmgauge.plans import catalog
 
 SCAN = "scan_month date, ip long, nvt_oid string, severity double, cvss double, port int"
 MAP = "run_date date, entity_id long, ip_dec long, ip_label string"
@@ -89,6 +92,65 @@ def test_joined_findings_are_not_shuffled(spark, month, monkeypatch):
     assert "Aggregate" not in by_ip[:by_ip.index("Join")]
 
 
+def test_cells_hold_rows_and_not_joined_rows(spark, rows, month, monkeypatch):
+    """Many joined rows do not make many cells, each with a copy of the sides."""
+    monkeypatch.setattr(scans, "CELL_ROWS", 100)
+    found = spark.range(4000).select(
+        F.lit(month(7)).alias("scan_month"), (F.col("id") % 4).alias("ip"), F.col("id").cast("string").alias("nvt_oid"),
+        F.lit(1.0).alias("severity"), F.lit(None).cast("double").alias("cvss"), F.lit(80).alias("port"))
+    owners = spark.range(400).select(
+        F.lit(month(7)).alias("run_date"), (F.col("id") / 2).cast("long").alias("entity_id"), (F.col("id") % 4).alias("ip_dec"), F.lit("x").alias("ip_label"))
+    made = scans.scan_findings(found, owners, month(7), blocked=[])
+    assert made.count() == 400_000 and made.distinct().count() == 400_000
+    n_cells = made.rdd.getNumPartitions()  # 4,000 when each added up CELL_ROWS joined rows
+    assert 32 <= n_cells <= 64
+    sizes = spark.createDataFrame([(month(7), 8_000_000, 20_000_000, 39 * 10**9)], "scan_month date, o long, f long, pairs long")
+    grid = scans._grid(sizes, 39 * 10**9).first()
+    assert grid["o"] * grid["n_columns"] + grid["f"] * grid["n_rows"] < 30 * (grid["o"] + grid["f"])
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1000])
+def test_pieces_of_a_cell(piece):
+    """Companies that end in the middle of a piece, repeats over IPs, nulls and values that are not numbers."""
+    rng, nan = random.Random(piece), float("nan")
+    owners = sorted({(rng.choice([None, *range(9)]), rng.randrange(6)) for _ in range(40)}, key=str)
+    hits = {(ip, rng.choice([None, *"abcdef"])): (rng.choice([1.0, 2.0, nan]), rng.choice([None, -math.inf, 0.5, nan])) for ip in (0, 1, 2, 3, 9) for _ in range(6)}
+    day, want = dt.date(2018, 7, 1), {}
+    above = lambda a, b: b if a is None else a if b is None else nan if math.isnan(a) or math.isnan(b) else max(a, b)
+    for entity, ip in owners:
+        for (at, oid), (severity, cvss) in hits.items():
+            if at == ip:
+                old = want.get((entity, oid), (None, None))
+                want[entity, oid] = (above(old[0], severity), above(old[1], cvss))
+    line = dict.fromkeys(("entity_id", "nvt_oid", "severity", "cvss"))
+    table = pa.Table.from_pylist(
+        [{"kind": cells.OWNER, "ip": ip, **line, "entity_id": e} for e, ip in owners]
+        + [{"kind": cells.FINDING, "ip": ip, **line, "nvt_oid": oid, "severity": s, "cvss": c} for (ip, oid), (s, c) in hits.items()])
+    table = table.append_column("cell", pa.array([3] * len(table))).append_column("scan_month", pa.array([day] * len(table)))
+    names = ["scan_month", "entity_id", "nvt_oid", "severity", "cvss"]
+    got = [row for batch in cells.added_up(None, names, piece)(iter(table.to_batches(max_chunksize=9))) for row in batch.to_pylist()]
+    flat = [((r["entity_id"], oid), v) for r in got for oid, *v in zip(r["nvt_oid"], r["severity"], r["cvss"])]
+    assert len(flat) == len(want) and {r["scan_month"] for r in got} == {day}
+    assert {k: str(tuple(v)) for k, v in flat} == {k: str(v) for k, v in want.items()}
+    assert not list(cells.added_up(None, names)(iter([])))
+
+
+def test_companies_of_a_type_need_only_its_findings(spark, rows, monkeypatch):
+    """Findings of other types are out before the join with the owners."""
+    found, owners, _ = _shared_ips(spark)
+    ref = spark.createDataFrame([("a", "A", 1.0, "PROMO"), ("a", "A", 1.0, "LARGE"), ("b", "B", None, None), ("c", None, 2.0, "SMALL"), (None, "N", 1.0, "PROMO")],
+                                "nvt_oid string, nvt_name string, cvss double, vulntype string")
+    tables = types.SimpleNamespace(scan_result=found.withColumn("scan_month", F.lit(catalog.LATEST)),
+                                   ip_map=owners.withColumn("run_date", F.lit(catalog.LATEST)), vuln_ref=ref)
+    want = rows(scans.entities_with_vulntype(catalog.scan_enriched(tables), catalog.VULNTYPES))
+    whole, given = scans.scan_findings, []
+    monkeypatch.setattr(scans, "scan_findings", lambda *a, vuln_ref, **k: given.append(vuln_ref) or whole(*a, vuln_ref=vuln_ref, **k))
+    for cell in (100, 10**9):
+        monkeypatch.setattr(scans, "CELL_ROWS", cell)
+        assert len(want) > 30 and rows(catalog.scan_by_vulntype(tables)) == want
+    assert all(rows(df) == [("a", "PROMO"), ("c", "SMALL"), (None, "PROMO")] for df in given)
+
+
 def test_company_sample_keeps_lowest_id_of_repeats(spark, rows):
     df = spark.createDataFrame(
         [(1, "S", 5, 9.0), (2, "S", 5, 9.0), (3, "S", 6, 9.0), (4, "S", 5, 1.0), (5, "T", 5, 9.0), (6, "T", 5, None)],
